@@ -1,7 +1,10 @@
 """Queries of this folder: name to (function of session and table folder, DuckDB SQL or None)."""
 
-from . import parity_join
+from . import parity_join, repetition, simple8b, suffix_index
 
 QUERIES = {
+    "op2_repetition": (repetition.query, repetition.SQL),
+    "op4_suffix_index": (suffix_index.query, suffix_index.SQL),
+    "op5_simple8b": (simple8b.query, simple8b.SQL),
     "op6_parity_join": (parity_join.query, parity_join.SQL),
 }
