@@ -1,8 +1,9 @@
 """Queries of this folder: name to (function of session and table folder, DuckDB SQL or None)."""
 
-from . import blocks, mixture, parity_join, quotes, repetition, secrets, simple8b, suffix_index, templates
+from . import blocks, mixture, parity_join, quotes, repetition, secrets, simple8b, suffix_index, templates, toxicity
 
 QUERIES = {
+    "op1_toxicity": (toxicity.query, toxicity.SQL),
     "op2_repetition": (repetition.query, repetition.SQL),
     "op3_quotes": (quotes.query, quotes.SQL),
     "op4_suffix_index": (suffix_index.query, suffix_index.SQL),
