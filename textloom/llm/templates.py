@@ -109,7 +109,7 @@ def _item_windows(window: int):
 
 def _doc_windows(bitmap, sizes: list[int]):
     def run(batches):
-        seen = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
+        seen = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
         for b in wd.slices(batches):
             tok, val, slot, off = template(b.column(1))
             for n in sizes:
@@ -138,11 +138,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
     items = items.mapInArrow(_item_windows(window), "h long, item_id long, i int, n int, windows int, item_values array<long>")
-    bits = [r[0] for r in items.select(F.shiftrightunsigned("h", 64 - BITS)).distinct().collect()]  # at most 2**BITS
+    place = F.shiftrightunsigned("h", 64 - BITS) + 1
+    parts = items.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # 2**BITS bits at most
     sizes = sorted(r[0] for r in items.select("n").distinct().collect())
-    seen = np.zeros(1 << BITS, bool)
-    seen[bits] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(seen).tobytes())
+    seen = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in parts:
+        m = np.frombuffer(r["m"], np.uint8)
+        seen[(r["b"] - 1) * len(m) : r["b"] * len(m)] = m
+    bitmap = spark.sparkContext.broadcast(seen.tobytes())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     found = base.mapInArrow(_doc_windows(bitmap, sizes), "h long, doc_id long, pos int, doc_values array<long>")
     both = found.join(items, "h").where(F.size("doc_values") == F.size("item_values"))
