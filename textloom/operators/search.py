@@ -126,12 +126,16 @@ def _sloppy(q: Phrase) -> Column:
     def within(p):
         last = p
         for t in q.terms[1:]:
-            last = F.array_min(F.filter(F.element_at("at", F.lit(t)), lambda x, y=last: x > y))
+            last = F.array_min(F.filter(F.element_at("at", F.lit(t)), _above(last)))
         return last.isNotNull() & (last - p - (len(q.terms) - 1) <= q.slop)
 
     return F.size(F.filter(F.element_at("at", F.lit(q.terms[0])), within))
 
 
+def _above(least: Column):
+    return lambda x: x > least
+
+
 def term_filter(q: Pattern) -> Column:
     """Whether a term is in the pattern's set."""
     t = F.col("term")

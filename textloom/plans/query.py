@@ -91,7 +91,7 @@ class Boolean(Query):
         return inner
 
     def __str__(self):
-        parts = [o + (f"({q})" if isinstance(q, Boolean) else str(q)) for o, q in self.clauses]
+        parts = [o + (f"({q})" if isinstance(q, Boolean) and not q._tail() and not q.min_should else str(q)) for o, q in self.clauses]
         out = " ".join(parts)
         if self.boost != 1.0 or self.min_should:
             out = f"({out})"

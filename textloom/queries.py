@@ -219,7 +219,7 @@ searches("wildcard_query", Pattern(kind="wildcard", field="text", text="h?sh*e")
 searches("fuzzy_query", Pattern(kind="fuzzy", field="text", text="hash", edits=1), o.pattern("levenshtein(term, 'hash') <= 1"))
 searches("range_query", Pattern(kind="range", field="text", text="has", upper="hat"), o.pattern("term >= 'has' and term <= 'hat'"))
 searches("regexp_query", Pattern(kind="regexp", field="text", text="h(a|e)sh.{0,2}"), o.pattern("regexp_full_match(term, 'h(a|e)sh.{0,2}')"))
-searches("phrase_query", Phrase(field="text", terms=("thanedble", "anea")), o.phrase("thanedble", "anea"))
+searches("phrase_query", Phrase(field="text", terms=("eriner", "thanea")), o.phrase("eriner", "thanea"))
 searches("parse_and_search", Parser("text").parse("+ble hash er^2 -und"), o.boolean(("+", o.term("ble")), ("", o.term("hash")), ("", o.term("er", 2.0)), ("-", o.term("und"))))
 searches("parse_operators", Parser("text").parse("(hash OR ble) AND er NOT text:und"), o.boolean(("+", o.boolean(("", o.term("hash")), ("", o.term("ble")))), ("+", o.term("er")), ("-", o.term("und"))))
 
