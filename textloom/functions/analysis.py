@@ -56,6 +56,14 @@ def raw_tokens(text: Column) -> Column:
     return F.filter(found, lambda t: t.rlike(r"[a-zA-Z0-9\p{L}\p{N}]"))
 
 
+def once(column: Column) -> Column:
+    """The column, so marked that Catalyst doesn't copy it: filters on what is made of it, such as those that an explode infers, would analyse each text again.
+
+    A condition that is always true, but not deterministic by its form, keeps projections and filters from being merged with it.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """Text to array<struct<term,pos>>.
@@ -80,7 +88,7 @@ class Analyzer:
                 ok = ok & ~t["term"].isin(*self.stop)
             return ok & self.keep(t["term"]) if self.keep else ok
 
-        return F.filter(out, good)
+        return once(F.filter(out, good))
 
     def words(self, text: str) -> list[str]:
         """Terms of one text, on the driver: for queries. By the same tokenizer for the scripts that both know."""
@@ -121,7 +129,7 @@ def offsets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     Tokens are set between marks that the text doesn't hold, so splitting gives tokens and what is between them in turn; lengths add up in one window per document.
     """
     marked = F.regexp_replace(F.translate(text, _MARK, " "), TOKEN, f"{_MARK}$0{_MARK}")
-    parts = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(marked, _MARK)).alias("k", "part"))
+    parts = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(once(F.split(marked, _MARK))).alias("k", "part"))
     from pyspark.sql.window import Window
 
     own = Window.partitionBy("doc_id").orderBy("k")

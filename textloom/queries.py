@@ -86,7 +86,7 @@ def stop_filter(spark, sf_dir):
 
 @add("token_types", f"with {o.raw()} select type, count(*) as n from (select case when regexp_matches(t, '\\p{{L}}') then '<ALPHANUM>' else '<NUM>' end as type from raw) group by type")
 def token_types(spark, sf_dir):
-    rows = table(spark, sf_dir).select(F.explode(an.raw_tokens(F.col("text"))).alias("t"))
+    rows = table(spark, sf_dir).select(F.explode(an.once(an.raw_tokens(F.col("text")))).alias("t"))
     return rows.groupBy(an.token_type(F.col("t")).alias("type")).agg(F.count("*").alias("n"))
 
 
