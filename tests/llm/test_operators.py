@@ -311,6 +311,21 @@ def test_mixture_meets_its_quotas(spark):
     assert len(kept) == 800 and {r["source"] for r in kept} == {"b"}
 
 
+def test_rare_source_does_not_bound_the_mix(spark):
+    counts = {f"s{i}": 50_000 for i in range(20)} | {"null": 1}
+    quota = mixture.quotas(counts, {k: n**0.7 for k, n in counts.items()}, sum(counts.values()), 4)
+    assert sum(quota.values()) == 1_000_001 and quota["null"] == 4 and min(quota.values()) >= 4
+    d = spark.createDataFrame([(i, None if i == 0 else "hot", "t") for i in range(2000)], "doc_id long, source string, text string")
+    got = mixture.mix(d, block=8, per_shard=4).collect()
+    copies = Counter((r["doc_id"], r["source"]) for r in got)
+    assert len(got) == 2000 and copies[0, None] == 4 and len(copies) == 1997 and max(n for k, n in copies.items() if k[0]) == 1
+    shards = defaultdict(list)
+    for r in got:
+        shards[r["shard"]].append(r["position"])
+    assert all(sorted(p) == list(range(len(p))) for p in shards.values())
+    assert Counter(r["source"] for r in mixture.mix(d, {None: 0.5, "hot": 0.5}, total=1000, repeats=10).collect()) == {None: 10, "hot": 990}
+
+
 def test_splitting_tree_is_a_draw_without_replacement():
     blocks_ = np.array([50, 30, 20])
     shares = []

@@ -4,7 +4,7 @@ The weights give each source an exact quota of documents, hence of blocks. A tre
 shards: at each node the left half of the shards gets a multivariate-hypergeometric draw of the node's blocks, the right half
 the rest, so each shard's composition is that of a draw without replacement from all blocks and the quotas are met
 exactly. The documents of a source are permuted by hash; its blocks are runs of that permutation, dealt to the
-shards in order, disjoint. Each shard then shuffles its documents.
+shards in order, disjoint. A rare source's permutation is gone through again, up to REPEATS times, so that it doesn't bound the whole mix. Each shard then shuffles its documents.
 
 The top of the tree is split on the driver, until a node has TOP shards; below, executors split each node from a seed of
 its own, so the tree can have any number of leaves.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TEMPERATURE = 0.7
+#: Times that a document of a rare source may be drawn to meet the source's share of a stated total.
+REPEATS = 4
 BLOCK = 64
 PER_SHARD = 32
 TOP = 1024
@@ -27,13 +29,34 @@ SEED = 20
 BUCKET = 8192
 
 
-def quotas(counts: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
-    """The largest exact quotas at the weights' proportions that the counts allow without repeating a document."""
+def quotas(counts: dict[str, int], weights: dict[str, float], total: int | None = None, repeats: int = 1) -> dict[str, int]:
+    """Quotas of the sources at the weights' proportions.
+
+    With a total, they add up to it, or to all that there is: no source bounds the others. A source gives at most ``repeats`` times its count; what
+    it lacks of its share goes to the others at their weights. Without one, the quotas are the largest exact ones that the counts allow without repeating a document.
+    """
     on = {s: w for s, w in weights.items() if w > 0 and counts.get(s, 0) > 0}
     if not on:
         return {}
-    total = min(counts[s] / w for s, w in on.items())
-    return {s: q for s, w in on.items() if (q := min(counts[s], int(total * w + 1e-6))) > 0}
+    if total is None:
+        total = min(counts[s] / w for s, w in on.items())
+        return {s: q for s, w in on.items() if (q := min(counts[s], int(total * w + 1e-6))) > 0}
+    room = {s: counts[s] * repeats for s in on}
+    order = sorted(on, key=lambda s: (room[s] / on[s], s))
+    rest = np.cumsum([on[s] for s in reversed(order)])[::-1]
+    left = min(total, sum(room.values()))
+    out: dict[str, int] = {}
+    k = 0
+    while k < len(order) and room[order[k]] * rest[k] <= left * on[order[k]]:
+        out[order[k]] = room[order[k]]
+        left -= room[order[k]]
+        k += 1
+    share = {s: left * on[s] / rest[k] for s in order[k:]}
+    out |= {s: min(int(x), room[s]) for s, x in share.items()}
+    lack = left - sum(out[s] for s in share)
+    for s in sorted(share, key=lambda s: (int(share[s]) - share[s], s))[:lack]:  # largest remainders
+        out[s] += 1
+    return {s: q for s, q in out.items() if q > 0}
 
 
 def _halves(shards: tuple[int, int], blocks: np.ndarray, per_shard: int, seed: int):
@@ -66,7 +89,7 @@ def _leaves(per_shard: int, seed: int):
     return run
 
 
-def _mixed(docs: DataFrame, weights, temperature: float, block: int, per_shard: int, seed: int) -> DataFrame | None:
+def _mixed(docs: DataFrame, weights, temperature: float, block: int, per_shard: int, seed: int, total: int | None, repeats: int) -> DataFrame | None:
     """Rows (row, source, shard, position); row has docs' columns."""
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
@@ -74,9 +97,10 @@ def _mixed(docs: DataFrame, weights, temperature: float, block: int, per_shard:
     counts = {r[0]: r[1] for r in docs.groupBy(key.alias("k")).count().collect()}
     if weights is None:
         given = {k: float(n) ** temperature for k, n in counts.items()}
+        total = sum(counts.values()) if total is None else total
     else:
         given = {"null" if k is None else f"s{k}": float(w) for k, w in weights.items()}
-    quota = quotas(counts, given)
+    quota = quotas(counts, given, total, repeats)
     if not quota:
         return None
     names = sorted(quota)
@@ -86,8 +110,9 @@ def _mixed(docs: DataFrame, weights, temperature: float, block: int, per_shard:
     nodes = spark.createDataFrame(top, "a long, b long, first array<long>, blocks array<long>").repartition(min(len(top), 1000))
     leaves = nodes.mapInPandas(_leaves(per_shard, seed), "s int, lo long, hi long, shard long")
     leaves = leaves.select("s", "shard", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("block"))
-    table = spark.createDataFrame([(i, s, quota[s]) for i, s in enumerate(names)], "s int, k string, quota long")
-    leaves = leaves.join(F.broadcast(table) if len(names) <= 10_000 else table, "s").select("k", "block", "shard", "quota")
+    table = spark.createDataFrame([(i, s, quota[s], counts[s]) for i, s in enumerate(names)], "s int, k string, quota long, count long")
+    table = F.broadcast(table) if len(names) <= 10_000 else table
+    leaves = leaves.join(table, "s").select("k", "block", "shard")
 
     bits = max(0, int(np.ceil(np.log2(max(1, sum(counts.values()) / BUCKET)))))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), key.alias("k"), h.alias("h"))
@@ -97,21 +122,24 @@ def _mixed(docs: DataFrame, weights, temperature: float, block: int, per_shard:
     sizes = sizes.select("k", "bucket", (F.sum("count").over(Window.partitionBy("k").orderBy("bucket")) - F.col("count")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("k", "bucket").orderBy("h", "id")) - 1
     rows = rows.withColumn("within", rank).join(sizes, ["k", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
-    rows = rows.withColumn("block", F.floor(F.col("rank") / block)).join(leaves, ["k", "block"]).where("rank < quota")
-    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "id", "k"), "rank")
+    # the runs of a source that is repeated go on through its permutation again
+    rows = rows.join(table.select("k", "quota", "count"), "k").where("rank < quota").withColumn("rank", F.explode(F.sequence("rank", F.col("quota") - 1, "count")))
+    rows = rows.withColumn("block", F.floor(F.col("rank") / block)).join(leaves, ["k", "block"])
+    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "id", "k", "rank"), "rank")
     return rows.select("row", "id", "shard", (F.row_number().over(local) - 1).alias("position"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, block: int = BLOCK, per_shard: int = PER_SHARD, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, block: int = BLOCK, per_shard: int = PER_SHARD, seed: int = SEED, total: int | None = None, repeats: int = REPEATS) -> DataFrame:
     """``(doc_id, source, shard, position)`` of the documents drawn; position counts from 0 within its shard.
 
     weights maps sources (None for a null source) to shares; sources that aren't in it get none. By default each source's share goes with its
-    count to the power of temperature. Quotas are the largest at those proportions that repeat no document. All shards have per_shard blocks but the last;
+    count to the power of temperature, and the total is the number of documents. With a total, documents of rare sources are drawn up to ``repeats`` times to meet their shares,
+    and what a source still lacks goes to the others. Given weights without a total are met exactly, by the largest quotas that repeat no document. All shards have per_shard blocks but the last;
     blocks have ``block`` documents but the last of each source. Each row counts as a document: null doc_ids and repeated rows
     are drawn like others. Of an empty table, or without positive weights, nothing is drawn. Other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    out = _mixed(base, weights, temperature, block, per_shard, seed)
+    out = _mixed(base, weights, temperature, block, per_shard, seed, total, repeats)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, source string, shard long, position int")
     return out.select("row.doc_id", "row.source", "shard", "position")
@@ -119,7 +147,7 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPE
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents drawn by ``mix``, with all their columns, in order of shard and position, whole shards to a partition."""
-    how = {"weights": None, "temperature": TEMPERATURE, "block": BLOCK, "per_shard": PER_SHARD, "seed": SEED} | how
+    how = {"weights": None, "temperature": TEMPERATURE, "block": BLOCK, "per_shard": PER_SHARD, "seed": SEED, "total": None, "repeats": REPEATS} | how
     out = _mixed(docs, **how)
     if out is None:
         return docs.limit(0)
