@@ -493,3 +493,16 @@ def test_template_windows_are_brute_force(spark):
     want = {(d, i) for d in texts for i in items if best(texts[d], items[i]) >= 0.5}
     got = {(r["doc_id"], r["item_id"]) for r in templates.leaks(docs(spark, list(texts.items())), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
     assert got == want and want
+
+
+def test_names_do_not_depend_on_neighbours():
+    own = ["He asked Émile and Oxford and Игорь and Рим, NATO and Weiß", "the Straße in Köln"]
+
+    def of(texts):
+        tok, val, slot, off = templates.template(pa.array(texts, pa.string()))
+        return [(tok[a:b].tolist(), val[a:b].tolist(), slot[a:b].tolist()) for a, b in zip(off, off[1:])]
+
+    want = [x for t in own for x in of([t])]
+    assert [sum(s) for _, _, s in want] == [5, 2]
+    assert of([own[0], "an İstanbul, a ẞ and a \u212a", own[1]])[::2] == want
+    assert sum(of(["from İstanbul to Rome and \u212aiel"])[0][2]) == 3

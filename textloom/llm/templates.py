@@ -10,9 +10,10 @@ size, whatever the benchmark's: with a large benchmark it lets more through, and
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,22 +41,36 @@ def _isin(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
 
 
+@functools.cache
+def _upper_points() -> np.ndarray:
+    """Whether a code point changes when it is lower-cased; those past the end have no case."""
+    return np.array([chr(c).lower() != chr(c) for c in range(0xD800)] + [False] * 0x800 + [chr(c).lower() != chr(c) for c in range(0xE000, 0x20000)] + [False])
+
+
+def _uppers(data: np.ndarray) -> np.ndarray:
+    """Marks the first bytes of upper-case letters."""
+    out = (data >= ord("A")) & (data <= ord("Z"))
+    if len(data) and data.max() >= 128:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        out[(data & 0xC0) != 0x80] = _upper_points()[np.minimum(points, 0x20000)]
+    return out
+
+
 def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template tokens of the texts, the words behind them, whether they are placeholders, and offsets.
 
     A number is a word that starts with a digit, or a spelled-out one; parts joined by one point or comma are one number. A
     unit is a listed word after a number. A name is a capitalised word, not all capitals, that starts no sentence, line or text.
     """
-    low = pc.utf8_lower(texts)
-    w = wd.scan(low, lower=False)
+    w = wd.scan(texts)
     raw, raw_off = wd.buffers(texts)
     if not len(w.h):
         return w.h, w.h, np.zeros(0, bool), w.off
     data = w.data
-    if len(raw) == len(data) and (raw_off == w.text_off).all():
-        changed = np.concatenate([[0], np.cumsum(raw != data)])
-    else:  # lower case of another length: no capitals to be seen
-        raw, changed = data, np.zeros(len(data) + 1, np.int64)
+    # lower-casing may change a word's bytes, never the words: word i of the raw texts is word i of the lower-case ones
+    raw_start, raw_end = wd.split(raw, raw_off)
+    upper = _uppers(raw)
+    capitals = np.concatenate([[0], np.cumsum(upper)])
     n = len(w.h)
     first = np.zeros(n, bool)
     first[w.off[:-1][w.off[:-1] < w.off[1:]]] = True
@@ -65,9 +80,7 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     before = np.r_[0, w.end[:-1]]
     opens = first | (stops[w.start] > stops[before])
     lead = data[w.start]
-    two = np.where(lead >= 128, 2, 1)
-    capital = changed[np.minimum(w.start + two, w.end)] > changed[w.start]
-    name = capital & ~opens & (changed[w.end] - changed[w.start] == 1)
+    name = upper[raw_start] & ~opens & (capitals[raw_end] - capitals[raw_start] == 1)
     digit = (lead >= ord("0")) & (lead <= ord("9"))
     num = digit | _isin(w.h, _NUMBERS)
     gap = w.start - before
