@@ -506,3 +506,15 @@ def test_names_do_not_depend_on_neighbours():
     assert [sum(s) for _, _, s in want] == [5, 2]
     assert of([own[0], "an İstanbul, a ẞ and a \u212a", own[1]])[::2] == want
     assert sum(of(["from İstanbul to Rome and \u212aiel"])[0][2]) == 3
+
+
+def test_a_clashing_slot_costs_its_windows_only(spark):
+    item = "A train leaves the old station at 9 with 120 passengers and reaches Oxford after 45 minutes, how many passengers did Brown count per hour"
+    dig = "If 8 days of rain fill the new tank of the town then how long would all of them and 8 friends need to dig a hole in the same garden"
+    bench = spark.createDataFrame([(1, item), (2, dig)], "item_id long, text string")
+    rows = [(1, item.replace("at 9", "at 45")), (2, item.replace("Oxford", "Brown")), (3, dig.replace("8 friends", "3 friends")), (4, dig.replace("8 days", "2 days").replace("8 friends", "3 friends"))]
+    got = {(r["doc_id"], r["item_id"]): r for r in templates.leaks(docs(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2)}
+    assert got[1, 1]["coverage"] == got[2, 1]["coverage"] == 1 and got[4, 2]["coverage"] < 1 and all(r["reworded"] for r in (got[1, 1], got[2, 1]))
+    assert templates.agreed([(0, 3), (3, 3)], [(1, 8, 8), (4, 8, 3)]) == ([0], False)
+    assert templates.agreed([(0, 3), (3, 3), (6, 3)], [(1, 8, 3), (4, 8, 3), (7, 8, 5)]) == ([0, 3], True)

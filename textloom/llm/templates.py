@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders; windows of WINDOW template tokens of the documents are joined by hash with those of the benchmark
-items. Where they match at one alignment, the values behind the placeholders must map to each other one to
-one over all matched windows: a question with other numbers or names is caught, and a mere likeness of shape isn't.
+items. Where they match at one alignment, each value behind the item's placeholders must map to one value of the document; windows with a slot that
+doesn't are left out, those with unchanged values never: a question with other numbers or names is caught, and a mere likeness of shape isn't.
 
 Documents send only the windows that pass a Bloom bitmap of the benchmark's window hashes to the join. The bitmap has a fixed
 size, whatever the benchmark's: with a large benchmark it lets more through, and the join decides.
@@ -11,6 +11,8 @@ size, whatever the benchmark's: with a large benchmark it lets more through, and
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,10 +114,12 @@ def _item_windows(window: int):
                 g = g[: hi - lo - n + 1]
                 good = [i for i in range(len(g)) if n - int(slot[lo + i : lo + i + n].sum()) >= min(LITERALS, (n + 1) // 2)]
                 ident = b.column(0)[k].as_py()
-                out += [(int(g[i].view(np.int64)), ident, i, n, len(good), val[lo + i : lo + i + n][slot[lo + i : lo + i + n]].view(np.int64).tolist()) for i in good]
-            cols = list(zip(*out)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "item_id", "i", "n", "windows", "item_values"])
+                for i in good:
+                    at = i + np.flatnonzero(slot[lo + i : lo + i + n])
+                    out.append((int(g[i].view(np.int64)), ident, i, n, len(good), val[lo + at].view(np.int64).tolist(), at.tolist()))
+            cols = list(zip(*out)) or [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "item_id", "i", "n", "windows", "item_values", "item_places"])
 
     return run
 
@@ -140,6 +144,34 @@ def _doc_windows(bitmap, sizes: list[int]):
     return run
 
 
+def agreed(hit: list[tuple[int, int]], slots: list[tuple[int, int, int]]) -> tuple[list[int], bool]:
+    """The windows of an alignment whose slots agree, and whether any slot in them has another value; windows are (start, length), slots (place, item's value, document's value).
+
+    A slot agrees if its value is unchanged, or is the one that most slots of the item's value have; of a tie, none. Several values of the item may become one.
+    """
+    votes: dict[int, Counter] = {}
+    for _, a, b in slots:
+        votes.setdefault(a, Counter())[b] += 1
+    most = {}
+    for a, c in votes.items():
+        top = c.most_common(2)
+        if len(top) == 1 or top[0][1] > top[1][1]:
+            most[a] = top[0][0]
+    clash = sorted({p for p, a, b in slots if a != b and most.get(a) != b})
+    other = sorted({p for p, a, b in slots if a != b})
+    kept = [(i, n) for i, n in hit if bisect_left(clash, i) == bisect_left(clash, i + n)]
+    return [i for i, _ in kept], any(bisect_left(other, i) < bisect_left(other, i + n) for i, n in kept)
+
+
+def _consistent(batches):
+    for b in batches:
+        doc, item, _, hit, windows, slots = b.columns
+        got = [agreed([tuple(x.values()) for x in hit[k].as_py()], [tuple(x.values()) for x in slots[k].as_py()]) for k in range(b.num_rows)]
+        some = pa.array([bool(i) for i, _ in got], pa.bool_())
+        out = [doc, item, pa.array([i for i, _ in got], pa.list_(pa.int32())), windows, pa.array([x for _, x in got], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "item_id", "hit", "item_windows", "other"]).filter(some)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """``(doc_id, item_id, windows, item_windows, coverage, reworded)`` of documents that hold a benchmark item, as it is or with other numbers, names or units.
 
@@ -150,7 +182,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
-    items = items.mapInArrow(_item_windows(window), "h long, item_id long, i int, n int, windows int, item_values array<long>")
+    items = items.mapInArrow(_item_windows(window), "h long, item_id long, i int, n int, windows int, item_values array<long>, item_places array<int>")
     place = F.shiftrightunsigned("h", 64 - BITS) + 1
     parts = items.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # 2**BITS bits at most
     sizes = sorted(r[0] for r in items.select("n").distinct().collect())
@@ -163,9 +195,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
     found = base.mapInArrow(_doc_windows(bitmap, sizes), "h long, doc_id long, pos int, doc_values array<long>")
     both = found.join(items, "h").where(F.size("doc_values") == F.size("item_values"))
     both = both.withColumn("at", F.col("pos") - F.col("i"))
-    match = both.groupBy("doc_id", "item_id", "at").agg(F.collect_set("i").alias("hit"), F.max("windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("doc_values", "item_values")))).alias("slots"))
-    one = (F.size(F.array_distinct("slots.doc_values")) == F.size("slots")) & (F.size(F.array_distinct("slots.item_values")) == F.size("slots"))
-    match = match.where(one).withColumn("other", F.exists("slots", lambda x: x["doc_values"] != x["item_values"]))
+    slots = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_places", "item_values", "doc_values"))))
+    match = both.groupBy("doc_id", "item_id", "at").agg(F.collect_set(F.struct("i", "n")).alias("hit"), F.max("windows").alias("item_windows"), slots.alias("slots"))
+    match = match.mapInArrow(_consistent, "doc_id long, item_id long, hit array<int>, item_windows int, other boolean")
     out = match.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("windows"), F.max("item_windows").alias("item_windows"), F.max("other").alias("reworded"))
     out = out.withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= min_coverage)
     return out.select("doc_id", "item_id", "windows", "item_windows", "coverage", "reworded")
