@@ -518,3 +518,13 @@ def test_a_clashing_slot_costs_its_windows_only(spark):
     assert got[1, 1]["coverage"] == got[2, 1]["coverage"] == 1 and got[4, 2]["coverage"] < 1 and all(r["reworded"] for r in (got[1, 1], got[2, 1]))
     assert templates.agreed([(0, 3), (3, 3)], [(1, 8, 8), (4, 8, 3)]) == ([0], False)
     assert templates.agreed([(0, 3), (3, 3), (6, 3)], [(1, 8, 3), (4, 8, 3), (7, 8, 5)]) == ([0, 3], True)
+
+
+def test_items_of_placeholders_are_found_as_copies(spark):
+    items = {1: "12 + 7 * 3 - 5 = ?", 2: "5 km 3 miles 20 feet 8 inches 4 yards 90 cm 12 m", 3: "Der Hund und die Katze der Frau Maier aus Bonn sahen Herrn Otto Weber im Garten", 4: "3, 5, 8, 13, 21, 34, 55, 89, 144"}
+    rng = random.Random(4)
+    rows = [(d, f"{text(rng, 20)} in {item} {text(rng, 20)}") for d, item in items.items()]
+    rows += [(10, "12 + 7 * 3 - 6 = ?"), (11, items[4].replace("13", "14").replace("55", "56")), (12, text(rng, 30) + " 1 2 3 4 5 6 7 8 9")]
+    got = templates.leaks(docs(spark, rows), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in items}
+    assert all(not r["reworded"] for r in got)

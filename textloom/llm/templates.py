@@ -25,11 +25,11 @@ WINDOW = 8
 MIN_COVERAGE = 0.5
 BITS = 22
 U = np.uint64
-#: At least so many tokens of a benchmark window are no placeholders, or half of a shorter one.
+#: At least so many tokens of a benchmark window are no placeholders, or half of a shorter one; other windows are matched by their words, not by their template.
 LITERALS = 4
 UNITS = "km m cm mm mile miles meter meters metre metres kilometer kilometers kilometre kilometres foot feet inch inches yard yards kg g mg gram grams kilogram kilograms pound pounds lb lbs ounce ounces ton tons tonne tonnes liter liters litre litres ml gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur gbp percent mph kmh degree degrees celsius fahrenheit volt volts watt watts joule joules newton newtons stunde stunden minuten tage jahre heure heures jours ans hora horas dias".split()
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
-NUM, NAME, UNIT = (wd.mix(np.array([x], U))[0] for x in (11, 12, 13))
+NUM, NAME, UNIT, EXACT = (wd.mix(np.array([x], U))[0] for x in (11, 12, 13, 14))
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -100,6 +100,12 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tok[keep], value[keep], (name | unit | num)[keep], off
 
 
+def _exact(val: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows' words, placeholders or not, apart from those of templates."""
+    g, ok = wd.ngrams(val, off, n)
+    return wd.mix(g ^ EXACT), ok
+
+
 def _item_windows(window: int):
     def run(batches):
         for b in wd.slices(batches):
@@ -110,16 +116,18 @@ def _item_windows(window: int):
                 n = min(window, hi - lo)
                 if not n:
                     continue
-                g, _ = wd.ngrams(tok[lo:hi], np.array([0, hi - lo]), n)
-                g = g[: hi - lo - n + 1]
-                good = [i for i in range(len(g)) if n - int(slot[lo + i : lo + i + n].sum()) >= min(LITERALS, (n + 1) // 2)]
+                one = np.array([0, hi - lo])
+                g, exact = wd.ngrams(tok[lo:hi], one, n)[0], _exact(val[lo:hi], one, n)[0]
                 ident = b.column(0)[k].as_py()
-                for i in good:
-                    at = i + np.flatnonzero(slot[lo + i : lo + i + n])
-                    out.append((int(g[i].view(np.int64)), ident, i, n, len(good), val[lo + at].view(np.int64).tolist(), at.tolist()))
-            cols = list(zip(*out)) or [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "item_id", "i", "n", "windows", "item_values", "item_places"])
+                count = hi - lo - n + 1
+                at = [i + np.flatnonzero(slot[lo + i : lo + i + n]) for i in range(count)]
+                literal = [n - len(x) >= min(LITERALS, (n + 1) // 2) for x in at]
+                for i, x in enumerate(at):
+                    h, x = (g[i], x) if literal[i] else (exact[i], x[:0])
+                    out.append((int(h.view(np.int64)), ident, i, n, literal[i], sum(literal), count, val[lo + x].view(np.int64).tolist(), x.tolist()))
+            cols = list(zip(*out)) or [[]] * 9
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "item_id", "i", "n", "literal", "literals", "windows", "item_values", "item_places"])
 
     return run
 
@@ -129,23 +137,22 @@ def _doc_windows(bitmap, sizes: list[int]):
         seen = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
         for b in wd.slices(batches):
             tok, val, slot, off = template(b.column(1))
+            before, slots = np.concatenate([[0], np.cumsum(slot)]), val[slot].view(np.int64)
             for n in sizes:
-                g, ok = wd.ngrams(tok, off, n)
-                at = np.flatnonzero(ok & seen[g >> U(64 - BITS)])
-                doc = np.searchsorted(off, at, side="right") - 1
-                before = np.concatenate([[0], np.cumsum(slot)])
-                lens = before[at + n] - before[at]
-                slots = val[slot].view(np.int64)
-                loff = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-                take = np.repeat(before[at] - loff[:-1], lens) + np.arange(loff[-1])
-                values = pa.ListArray.from_arrays(pa.array(loff), pa.array(slots[take]))
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), b.column(0).take(pa.array(doc)), pa.array((at - off[doc]).astype(np.int32)), values], ["h", "doc_id", "pos", "doc_values"])
+                for exact, (g, ok) in ((False, wd.ngrams(tok, off, n)), (True, _exact(val, off, n))):
+                    at = np.flatnonzero(ok & seen[g >> U(64 - BITS)])
+                    doc = np.searchsorted(off, at, side="right") - 1
+                    lens = np.zeros(len(at), np.int64) if exact else before[at + n] - before[at]
+                    loff = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+                    take = np.repeat(before[at] - loff[:-1], lens) + np.arange(loff[-1])
+                    values = pa.ListArray.from_arrays(pa.array(loff), pa.array(slots[take]))
+                    yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), b.column(0).take(pa.array(doc)), pa.array((at - off[doc]).astype(np.int32)), values], ["h", "doc_id", "pos", "doc_values"])
 
     return run
 
 
-def agreed(hit: list[tuple[int, int]], slots: list[tuple[int, int, int]]) -> tuple[list[int], bool]:
-    """The windows of an alignment whose slots agree, and whether any slot in them has another value; windows are (start, length), slots (place, item's value, document's value).
+def agreed(hit: list[tuple], slots: list[tuple[int, int, int]]) -> tuple[list[int], bool]:
+    """The windows of an alignment whose slots agree, and whether any slot in them has another value; windows are (start, length, ...), slots (place, item's value, document's value).
 
     A slot agrees if its value is unchanged, or is the one that most slots of the item's value have; of a tie, none. Several values of the item may become one.
     """
@@ -159,30 +166,37 @@ def agreed(hit: list[tuple[int, int]], slots: list[tuple[int, int, int]]) -> tup
             most[a] = top[0][0]
     clash = sorted({p for p, a, b in slots if a != b and most.get(a) != b})
     other = sorted({p for p, a, b in slots if a != b})
-    kept = [(i, n) for i, n in hit if bisect_left(clash, i) == bisect_left(clash, i + n)]
+    kept = [(i, n) for i, n, *_ in hit if bisect_left(clash, i) == bisect_left(clash, i + n)]
     return [i for i, _ in kept], any(bisect_left(other, i) < bisect_left(other, i + n) for i, n in kept)
 
 
 def _consistent(batches):
     for b in batches:
-        doc, item, _, hit, windows, slots = b.columns
-        got = [agreed([tuple(x.values()) for x in hit[k].as_py()], [tuple(x.values()) for x in slots[k].as_py()]) for k in range(b.num_rows)]
-        some = pa.array([bool(i) for i, _ in got], pa.bool_())
-        out = [doc, item, pa.array([i for i, _ in got], pa.list_(pa.int32())), windows, pa.array([x for _, x in got], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "item_id", "hit", "item_windows", "other"]).filter(some)
+        doc, item, _, hit, literals, windows, slots = b.columns
+        rows = []
+        for k in range(b.num_rows):
+            own = [tuple(x.values()) for x in hit[k].as_py()]
+            kept, other = agreed(own, [tuple(x.values()) for x in slots[k].as_py()])
+            literal = {i for i, _, x in own if x}
+            rows.append((kept, [i for i in kept if i in literal], other))
+        ints = pa.list_(pa.int32())
+        out = [doc, item, pa.array([r[0] for r in rows], ints), pa.array([r[1] for r in rows], ints), literals, windows, pa.array([r[2] for r in rows], pa.bool_())]
+        names = ["doc_id", "item_id", "hit", "part", "literals", "item_windows", "other"]
+        yield pa.RecordBatch.from_arrays(out, names).filter(pa.array([bool(r[0]) for r in rows], pa.bool_()))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """``(doc_id, item_id, windows, item_windows, coverage, reworded)`` of documents that hold a benchmark item, as it is or with other numbers, names or units.
 
     windows: how many of the item's item_windows windows occur in the document at alignments whose slot values are consistent; coverage, their part, is min_coverage or more. reworded: a matched slot has another value.
-    Items of fewer than ``window`` template tokens are one window. Windows with too few literal words are left out of the items; an item of such windows alone can't be found.
+    Items of fewer than ``window`` template tokens are one window. Windows with too few literal words match by their words alone, values and all, so an item of
+    such windows is found as a copy, not reworded. item_windows are the windows of the item that may be reworded, or all of it where these are covered better.
 
     Rows with a null doc_id or item_id, null and empty texts match nothing. Repeated rows, and repeated ids, count once. Other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
-    items = items.mapInArrow(_item_windows(window), "h long, item_id long, i int, n int, windows int, item_values array<long>, item_places array<int>")
+    items = items.mapInArrow(_item_windows(window), "h long, item_id long, i int, n int, literal boolean, literals int, windows int, item_values array<long>, item_places array<int>")
     place = F.shiftrightunsigned("h", 64 - BITS) + 1
     parts = items.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # 2**BITS bits at most
     sizes = sorted(r[0] for r in items.select("n").distinct().collect())
@@ -196,9 +210,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
     both = found.join(items, "h").where(F.size("doc_values") == F.size("item_values"))
     both = both.withColumn("at", F.col("pos") - F.col("i"))
     slots = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_places", "item_values", "doc_values"))))
-    match = both.groupBy("doc_id", "item_id", "at").agg(F.collect_set(F.struct("i", "n")).alias("hit"), F.max("windows").alias("item_windows"), slots.alias("slots"))
-    match = match.mapInArrow(_consistent, "doc_id long, item_id long, hit array<int>, item_windows int, other boolean")
-    out = match.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("windows"), F.max("item_windows").alias("item_windows"), F.max("other").alias("reworded"))
+    match = both.groupBy("doc_id", "item_id", "at").agg(F.collect_set(F.struct("i", "n", "literal")).alias("hit"), F.max("literals").alias("literals"), F.max("windows").alias("item_windows"), slots.alias("slots"))
+    match = match.mapInArrow(_consistent, "doc_id long, item_id long, hit array<int>, part array<int>, literals int, item_windows int, other boolean")
+    def number(name):
+        return F.size(F.array_distinct(F.flatten(F.collect_list(name))))
+
+    out = match.groupBy("doc_id", "item_id").agg(number("hit").alias("windows"), number("part").alias("part"), F.max("literals").alias("literals"), F.max("item_windows").alias("item_windows"), F.max("other").alias("reworded"))
+    # a reworded item is told by its windows that can be reworded, a copy by all
+    fewer = (F.col("literals") > 0) & (F.col("part") * F.col("item_windows") >= F.col("windows") * F.col("literals"))
+    out = out.select("doc_id", "item_id", F.when(fewer, F.col("part")).otherwise(F.col("windows")).alias("windows"), F.when(fewer, F.col("literals")).otherwise(F.col("item_windows")).alias("item_windows"), "reworded")
     out = out.withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= min_coverage)
     return out.select("doc_id", "item_id", "windows", "item_windows", "coverage", "reworded")
 
