@@ -396,6 +396,19 @@ def test_gradients_are_right():
         assert (a - b) / (2 * e) == pytest.approx(grad[k][at], rel=0.05, abs=2e-5), k
 
 
+def test_path_reaches_the_net_whole():
+    def vectors(outer, masked=False):
+        page = f"<body><{outer}><div class='post-body entry-content'><div class='col-md-8 col-sm-12'><p>some words</p></div></div></{outer}></body>"
+        return blocks.features([blocks.leaves(page)], [masked])[:, : blocks.TAGS]
+
+    own = [vectors(x) for x in ("article", "aside", "nav", "footer")]
+    assert all((a != b).any() for a, b in itertools.combinations(own, 2))
+    assert (vectors("article") != vectors("article", True)).any()
+    one = blocks.features([blocks.leaves("<div><p class='a-b-c-d-e-f-g-h'>x</p></div>")], [False])[0, : blocks.TAGS]
+    both = blocks.features([blocks.leaves("<p class='a-b-c-d-e-f-g-h'>x</p>")], [False])[0, : blocks.TAGS]
+    assert np.abs(one - both).sum() == pytest.approx(0.8)
+
+
 def test_leaves_of_broken_markup():
     got = blocks.leaves("<div class='a b'>one <b>two<br>three</b><p>four<p>five</div></i> six<script>var x='<p>no</p>'</script><li>seven<!-- no --> &amp; more")
     assert [g[0] for g in got] == ["one two three", "four", "five", "six", "seven & more"]

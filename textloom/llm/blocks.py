@@ -28,6 +28,7 @@ TAGS = 24
 WORDS = 24
 COUNTS = 6
 BATCH = 64
+U = wd.U
 MARKS = ("article", "main")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label".split())
@@ -37,8 +38,8 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _CLOSED_BY = {"p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article aside nav header footer main blockquote pre form hr".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 
 
-def leaves(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """Blocks of a page: text, path of tags with classes and ids from the root on, and characters within links.
+def leaves(page: str) -> list[tuple[str, tuple[str, ...], int, tuple[int, ...]]]:
+    """Blocks of a page: text, path of tags with classes and ids from the root on, characters within links, and the number of the tag that each entry of the path belongs to.
 
     Inline tags and line breaks don't end a block. Unclosed and stray tags are taken as browsers do: an end tag closes up to its start tag, one without is ignored.
     """
@@ -50,8 +51,8 @@ def leaves(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     def flush():
         got = " ".join(entities.unescape("".join(text)).split())
         if got:
-            path = tuple(x for name, marks in stack if name not in _INLINE for x in (name, *marks))
-            out.append((got, path, min(linked[1], len(got))))
+            own = [(name, *marks) for name, marks in stack if name not in _INLINE]
+            out.append((got, tuple(x for t in own for x in t), min(linked[1], len(got)), tuple(k for k, t in enumerate(own) for _ in t)))
         text.clear()
         linked[1] = 0
 
@@ -110,14 +111,16 @@ def leaves(page: str) -> list[tuple[str, tuple[str, ...], int]]:
 _PATHS: dict = {}
 
 
-def _path_vector(path: tuple[str, ...], masked: bool) -> np.ndarray:
-    """Hashed tags of a path, the nearer the heavier; kept, as paths repeat."""
-    key = (path, masked)
+def _path_vector(path: tuple[str, ...], tags: tuple[int, ...], masked: bool) -> np.ndarray:
+    """Hashed entries of a whole path, the nearer their tag the heavier; kept, as paths repeat."""
+    key = (path, tags, masked)
     if key not in _PATHS:
         v = np.zeros(TAGS, np.float32)
-        names = [x for x in path if not (masked and x in MARKS)][-8:]
-        for k, h in enumerate(wd.scan(pa.array([re.sub(r"\W", "z", x) or "z" for x in names])).h.tolist() if names else []):
-            v[h % TAGS] += (1 if h >> 40 & 1 else -1) * 0.8 ** (len(names) - 1 - k)
+        on = [(x, t) for x, t in zip(path, tags) if not (masked and x in MARKS)]
+        if on:
+            step = np.unique([t for _, t in on], return_inverse=True)[1]
+            h = wd.scan(pa.array([re.sub(r"\W", "z", x) or "z" for x, _ in on])).h
+            np.add.at(v, (h % U(TAGS)).astype(np.int64), np.where(h >> U(40) & U(1), 1, -1) * 0.8 ** (step[-1] - step))
         if len(_PATHS) > 100_000:
             _PATHS.clear()
         _PATHS[key] = v
@@ -131,11 +134,11 @@ def features(pages: list[list], masked: list[bool]) -> np.ndarray:
     x = np.zeros((n, TAGS + WORDS + COUNTS), np.float32)
     if not n:
         return x
-    x[:, :TAGS] = [_path_vector(b[1], m) for p, m in zip(pages, masked) for b in p]
+    x[:, :TAGS] = [_path_vector(b[1], b[3], m) for p, m in zip(pages, masked) for b in p]
     w = wd.scan(pa.array([b[0] for b in blocks], pa.large_string()))
     row = wd.doc_of(w.off)
-    sign = np.where((w.h >> wd.U(40)) & wd.U(1), 1.0, -1.0)
-    bag = np.bincount(row * WORDS + (w.h % wd.U(WORDS)).astype(np.int64), weights=sign, minlength=n * WORDS).reshape(n, WORDS)
+    sign = np.where((w.h >> U(40)) & U(1), 1.0, -1.0)
+    bag = np.bincount(row * WORDS + (w.h % U(WORDS)).astype(np.int64), weights=sign, minlength=n * WORDS).reshape(n, WORDS)
     count = np.diff(w.off)
     x[:, TAGS : TAGS + WORDS] = bag / np.sqrt(np.maximum(count, 1))[:, None]
     chars = np.array([len(b[0]) for b in blocks])
