@@ -86,6 +86,19 @@ def test_toxicity_restores_before_it_scores(spark):
     assert flagged - {1000, 1001, 1002, None} == {i for i in range(160) if i % 4 == 0}
 
 
+def test_only_similar_labelled_documents_are_copies():
+    rng = np.random.default_rng(8)
+    size, words = toxicity.SKETCH, [[1, 2], [1, 3], [1, 4], [1, 5], [9], [9, 8]]
+    least = [rng.integers(0, 1 << 60, size).tolist() for _ in words]
+    for i in range(3):  # a chain of shared passages
+        least[i + 1][i] = least[i][i]
+    least[5] = least[4][: size * 3 // 4] + least[5][size * 3 // 4 :]
+    rows = [(1, w, m) for w, m in zip(words, least)] + [(0, [7], rng.integers(0, 1 << 60, size).tolist()) for _ in range(60)]
+    signs, weight, prior = toxicity.lexicon(rows)
+    assert signs.tolist() == [1] and prior == pytest.approx(np.log(6 / 61))
+    assert weight[0] == pytest.approx(np.log(4.5 / 6) - np.log(0.5 / 61))
+
+
 def test_language_model_is_a_distribution(spark):
     d, _ = labelled(spark)
     cost = toxicity.language_model(d)

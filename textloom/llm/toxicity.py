@@ -5,7 +5,7 @@ a look-alike may stand for several letters, a repeated letter for one or two, a
 character language model, 4-grams counted over all documents, is the restored word. A stretch without look-alikes, repetition or spacing has a lattice of a single path, itself,
 and isn't searched.
 
-The score is naive Bayes over words that labelled documents show to be toxic. Copies among the labelled documents are told by min-hashes and
+The score is naive Bayes over words that labelled documents show to be toxic. Copies among the labelled documents are told by min-hashes of their word 3-grams, half of which must agree, and
 count once, so the words of a text that was copied many times don't become signs of anything.
 """
 
@@ -27,6 +27,8 @@ TRAIN_DOCS = 3000
 LIFT = 4.0
 #: Documents that a sign occurs in, copies counted once.
 SUPPORT = 3
+#: Min-hashes of a labelled document. Documents that share one of the first BANDS are compared, and are copies if half of all are equal, so at a Jaccard similarity of word 3-grams of about a half.
+SKETCH, BANDS = 64, 8
 U = np.uint64
 
 #: Boundary, a to z, other letters.
@@ -253,7 +255,7 @@ def _word_sets(cost):
             g, ok = wd.ngrams(w.h, w.off, 3)
             cut = np.searchsorted(number, np.arange(b.num_rows + 1))
             rows = [(np.unique(np.r_[w.h[i:j], more[k:m]]), g[i:j][ok[i:j]]) for i, j, k, m in zip(w.off, w.off[1:], cut, cut[1:])]
-            least = [[int(wd.mix(x ^ U(37 * i + 1)).min().view(np.int64)) for i in range(8)] if len(x) else [] for _, x in rows]
+            least = [[int(wd.mix(x ^ U(37 * i + 1)).min().view(np.int64)) for i in range(SKETCH)] if len(x) else [] for _, x in rows]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array([s.view(np.int64).tolist() for s, _ in rows], pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["toxic", "words", "least"])
 
     return run
@@ -262,7 +264,7 @@ def _word_sets(cost):
 def lexicon(rows: list, lift: float = LIFT, support: int = SUPPORT) -> tuple[np.ndarray, np.ndarray, float]:
     """Signs, their weights, and the prior, from rows (toxic, words, least): labels, word hashes and min-hashes of labelled documents.
 
-    Documents that share a min-hash are copies, and count as one document of each label that the group has.
+    Documents with half of their min-hashes equal are copies, and count as one document of each label that the group has.
     """
     root = list(range(len(rows)))
 
@@ -272,12 +274,16 @@ def lexicon(rows: list, lift: float = LIFT, support: int = SUPPORT) -> tuple[np.
             i = root[i]
         return i
 
-    seen: dict = {}
-    for i, (_, _, least) in enumerate(rows):
-        for k, x in enumerate(least):
-            j = seen.setdefault((k, x), i)
-            if j != i:
+    seen: dict[tuple[int, int], list[int]] = {}
+    sketch = np.array([least or [0] * SKETCH for *_, least in rows], np.int64).reshape(len(rows), SKETCH)
+    for i, (*_, least) in enumerate(rows):
+        near = {j for key in enumerate(least[:BANDS]) for j in seen.get(key, ())}
+        if near:
+            at = np.array(sorted(near))
+            for j in at[2 * (sketch[at] == sketch[i]).sum(1) >= len(least)].tolist():
                 root[top(i)] = top(j)
+        for key in enumerate(least[:BANDS]):
+            seen.setdefault(key, []).append(i)
     union: dict = {}
     for i, (toxic, own, _) in enumerate(rows):
         union.setdefault((top(i), bool(toxic)), []).append(np.array(own, np.int64))
