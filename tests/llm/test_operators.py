@@ -86,6 +86,25 @@ def test_toxicity_restores_before_it_scores(spark):
     assert flagged - {1000, 1001, 1002, None} == {i for i in range(160) if i % 4 == 0}
 
 
+HIDDEN = ["!diot", "idi0+", "|oser", "m  o  r  o  n", "m - o - r - o - n", "m\no\nr\no\nn", "m o ron", "l oo se r", "+rash!!", "sh!+"]
+
+
+def test_edge_signs_and_loose_spacing_are_restored(spark):
+    rng = random.Random(6)
+    plain = ["idiot", "loser", "moron", "trash", "shit"]
+    d = docs(spark, [(i, text(rng, 40, WORDS + plain)) for i in range(200)])
+    cost = toxicity.language_model(d)
+    whole = [set(plain) & set(toxicity.viterbi(x, cost).split()) or set(re.findall("[a-z]+", toxicity.viterbi(x, cost))) & set(plain) for x in HIDDEN]
+    assert all(whole), [x for x, got in zip(HIDDEN, whole) if not got]
+    t = pa.array([f"kaba lofi {x} rusa neta" for x in HIDDEN] + ["kaba lofi! rusa|", "moron!!! idiot+"])
+    data, off = wd.buffers(t)
+    start, end = toxicity.noisy(data, off, wide=True)
+    found = [t.to_pylist()[k].encode()[a - off[k] : b - off[k]].decode() for k, a, b in zip(np.searchsorted(off, start, side="right") - 1, start, end)]
+    assert set(HIDDEN) <= set(found)
+    *_, changed = toxicity.restore(t, cost)
+    assert changed[: len(HIDDEN)].min() >= 1 and changed[len(HIDDEN) :].tolist() == [0, 0]
+
+
 def test_only_similar_labelled_documents_are_copies():
     rng = np.random.default_rng(8)
     size, words = toxicity.SKETCH, [[1, 2], [1, 3], [1, 4], [1, 5], [9], [9, 8]]

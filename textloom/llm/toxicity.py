@@ -36,8 +36,8 @@ SYMBOLS = 28
 OTHER = 27
 _FOLD = {"à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "ç": "c", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ø": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y"}
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "£": "l", "¢": "c"}
-#: Costs in nats: a look-alike, a separator dropped or taken as a boundary, one letter of two dropped, the second of three or more kept, a look-alike taken as no letter.
-SWAP, JOIN, CUT, HALVE, DOUBLE, PLAIN = 0.7, 0.1, 1.0, 2.0, 1.0, 6.0
+#: Costs in nats: a look-alike, a separator dropped or taken as a boundary, one letter of two dropped, the second of three or more kept, a look-alike taken as no letter, a sign at the edge of a word taken as punctuation.
+SWAP, JOIN, CUT, HALVE, DOUBLE, PLAIN, EDGE = 0.7, 0.1, 1.0, 2.0, 1.0, 6.0, 0.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -49,6 +49,10 @@ _SIGN[[ord(c) for c in "@$!|+"]] = True
 _BODY = _LETTER | _DIGIT | _SIGN
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[ord(c) for c in " .-_*~,/"]] = True
+_GAPS = _SEPARATORS.copy()
+_GAPS[[ord(c) for c in "\n\r\t"]] = True
+#: Pieces of a stretch, and what stands between them.
+_PIECE = re.compile("([a-z0-9@$!|+\x80-\U0010ffff]+)|[^a-z0-9@$!|+\x80-\U0010ffff]+")
 
 _CODE = np.zeros(256, np.uint8)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -102,30 +106,34 @@ def language_model(texts: DataFrame) -> np.ndarray:
 
 def lattice(span: str) -> list[list[tuple[int, str, float]]]:
     """Slots of a stretch of lower-case text: choices (symbol, or -1 for none; text; cost)."""
-    apart = bool(re.fullmatch(r"(?:[^\W_]|[@$!|+])(?:[^\w@$!|+\n]|_)(?:(?:[^\W_]|[@$!|+])(?:[^\w@$!|+\n]|_))*(?:[^\W_]|[@$!|+])", span))
-    slots, i, n = [], 0, len(span)
-    while i < n:
-        c = span[i]
-        if apart and i % 2:
-            slots.append([(-1, "", JOIN), (0, " ", CUT)])
-            i += 1
+    slots: list = []
+    for m in _PIECE.finditer(span):
+        piece = m[1]
+        if not piece:
+            slots.append([(-1, "", JOIN), (0, m[0], CUT)])
             continue
-        j = i + 1
-        while not apart and j < n and span[j] == c:
-            j += 1
-        own = code(c)
-        if own:
-            one = [(own, c, 0.0)]
-        elif c in LOOKS:
-            one = [(code(x), x, SWAP) for x in LOOKS[c]] + [(0, c, PLAIN)]
-        else:
-            one = [(0, c, 0.0)]
-        slots.append(one)
-        if j - i == 2:
-            slots.append([*one, (-1, "", HALVE)])
-        elif j - i > 2:
-            slots.append([*((s, x, v + DOUBLE) for s, x, v in one), (-1, "", 0.0)])
-        i = j
+        n, lead, tail = len(piece), len(piece) - len(piece.lstrip("!|+")), len(piece.rstrip("!|+@"))
+        if piece[:tail].endswith("$$$"):
+            tail = len(piece[:tail].rstrip("$"))
+        i = 0
+        while i < n:
+            c, edge = piece[i], i < lead or i >= tail
+            j = i + 1
+            while not edge and j < tail and piece[j] == c:
+                j += 1
+            own = code(c)
+            if own:
+                one = [(own, c, 0.0)]
+            elif c in LOOKS:
+                one = [(code(x), x, SWAP) for x in LOOKS[c]] + [(0, c, EDGE if edge else PLAIN)]
+            else:
+                one = [(0, c, 0.0)]
+            slots.append(one)
+            if j - i == 2:
+                slots.append([*one, (-1, "", HALVE)])
+            elif j - i > 2:
+                slots.append([*((s, x, v + DOUBLE) for s, x, v in one), (-1, "", 0.0)])
+            i = j
     return slots
 
 
@@ -152,8 +160,12 @@ def viterbi(span: str, cost: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-def noisy(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end bytes of the stretches of lower-case texts that have more than one reading."""
+def noisy(data: np.ndarray, off: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end bytes of the stretches of lower-case texts that have more than one reading.
+
+    wide: signs at the edges of words, which are mostly punctuation, belong to the stretches, and so do neighbouring pieces of up to two characters, or of three beside
+    one, whatever number of separators stands between; the lattice has their harmless readings too.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -173,7 +185,7 @@ def noisy(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     runs = np.concatenate([[0], np.cumsum(three)])
     # signs at the end of a word are punctuation, unless it is one or two dollar signs
     e = end.copy()
-    while True:
+    while not wide:
         back = (e > start) & np.isin(data[np.maximum(e - 1, 0)], [ord(c) for c in "!|+@"])
         if not back.any():
             break
@@ -186,9 +198,9 @@ def noisy(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         x[more] -= 1
         dollars[more] += 1
-    e = np.where(dollars > 2, x, e)
+    e = e if wide else np.where(dollars > 2, x, e)
     b = start.copy()
-    while True:
+    while not wide:
         ahead = (b < e) & np.isin(data[np.minimum(b, n - 1)], [ord(c) for c in "!|+"])
         if not ahead.any():
             break
@@ -199,10 +211,18 @@ def noisy(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = end - start
     one = (size == 1) | ((size == 2) & (data[start] >= 0xC3) & (data[start] < 0xE0))
     near = one[1:] & one[:-1] & (start[1:] == end[:-1] + 1) & ~cut[start[1:]] & _SEPARATORS[data[np.minimum(end[:-1], n - 1)]] if len(start) > 1 else np.zeros(0, bool)
+    if wide and len(start) > 1:
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        size = chars[end] - chars[start]
+        stop = np.concatenate([[0], np.cumsum(~_GAPS[data])])
+        cuts = np.concatenate([[0], np.cumsum(cut)])
+        most = np.maximum(size[1:], size[:-1])
+        near = (most <= 2) | (most == 3) & (np.minimum(size[1:], size[:-1]) == 1)
+        near &= (stop[start[1:]] == stop[end[:-1]]) & (cuts[start[1:] + 1] == cuts[end[:-1]])
     opens = near & np.r_[True, ~near[:-1]] if len(near) else near
     closes = near & np.r_[~near[1:], True] if len(near) else near
     lo, hi = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    long = hi - lo >= 2
+    long = hi - lo >= (1 if wide else 2)
     lo, hi = lo[long], hi[long]
     some = letters[end[hi]] > letters[start[lo]] if len(lo) else np.zeros(0, bool)
     spans.append(np.stack([start[lo[some]], end[hi[some]]]) if len(lo) else np.zeros((2, 0), np.int64))
@@ -226,7 +246,7 @@ def restore(texts: pa.Array, cost: np.ndarray) -> tuple[wd.Words, np.ndarray, np
     """Words of the texts as they are, the texts' numbers and words of the restored stretches, and how many stretches each text has that were restored to something else. All words are squeezed."""
     data, off = wd.buffers(pc.utf8_lower(texts))
     w = wd.scan(squeezed(data, off), lower=False)
-    start, end = noisy(data, off)
+    start, end = noisy(data, off, wide=True)
     doc = np.searchsorted(off, start, side="right") - 1
     raw, got, own, changed = data.tobytes(), [], [], np.zeros(len(off) - 1, np.int64)
     for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist()):
