@@ -83,15 +83,7 @@ def test_pipeline_is_its_operators_in_turn(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     good = {r["doc_id"] for r in repetition.measure(docs).where("keep").collect()}
     docs = docs.where(F.col("doc_id").isin(*good))
-    gone, root = set(), {}
-    for r in sorted(map(tuple, parity_join.jaccard_join(docs).select("doc_a", "doc_b").collect())):
-        a, b = r
-        while root.get(a, a) != a:
-            a = root[a]
-        while root.get(b, b) != b:
-            b = root[b]
-        root[max(a, b)] = min(a, b)
-    gone = {x for x in root if root[x] != x}
+    gone = {r["doc_id"] for r in parity_join.jaccard_join(docs).where("doc_id <> class_id").collect()}
     docs = docs.where(~F.col("doc_id").isin(*gone)) if gone else docs
     leaked = {r["doc_id"] for r in templates.leaks(docs, spark.read.parquet(f"{tiny}/benchmark.parquet")).collect()}
     docs = docs.where(~F.col("doc_id").isin(*leaked)) if leaked else docs

@@ -276,35 +276,99 @@ def shingles(t):
     return frozenset([tuple(w)] if 0 < len(w) < 3 else [tuple(w[i : i + 3]) for i in range(len(w) - 2)])
 
 
-def test_parity_join_against_brute_force(spark):
-    rng = random.Random(4)
-    texts, k = {}, 0
-    vocab = [f"w{i}" for i in range(3000)]
-    for _ in range(60):
-        base = text(rng, rng.choice([1, 2, 5, 12, 40, 150, 700]), vocab).split()
+def classes_of(texts, threshold=parity_join.THRESHOLD):
+    """Brute force: doc_id to (class_id, n_links)."""
+    sets = {d: shingles(t) for d, t in texts.items()}
+    root, links = {d: d for d in texts}, Counter()
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 10 * len(x & y) >= 10 * threshold * len(x | y) - 1e-6:
+            links[a] += 1
+            links[b] += 1
+            r, s = sorted((top(a), top(b)))
+            root[s] = r
+    return {d: (top(d), links[d]) for d in texts}
+
+
+def families(rng, vocab, number=60):
+    texts = {}
+    for _ in range(number):
+        base = text(rng, rng.choice([1, 2, 3, 5, 12, 40, 150, 700]), vocab).split()
         for _ in range(4):
             w = list(base)
             for _ in range(rng.randint(0, max(1, len(w) // 14))):
                 w[rng.randrange(len(w))] = rng.choice(vocab)
-            texts[k], k = " ".join(w), k + 1
-    sets = {d: shingles(t) for d, t in texts.items()}
-    least = {}
-    for d in sorted(sets):
-        least.setdefault(sets[d], d)
-    reps = sorted(least.values())
-    want = {(least[s], d) for d, s in sets.items() if d != least[s]}
-    for a, b in itertools.combinations(reps, 2):
-        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-        if j >= parity_join.THRESHOLD:
-            want.add((a, b))
-    rows = [*texts.items(), (5, texts[5]), (9000, None), (9001, "..."), (None, texts[5])]
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in parity_join.jaccard_join(docs(spark, rows)).collect()}
-    assert not set(got) - want
-    assert len(set(got)) >= 0.98 * len(want)
-    for (a, b), j in got.items():
-        assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
-    kept = {r["doc_id"] for r in parity_join.one_of_each(docs(spark, rows)).collect()}
-    assert {9000, 9001, None} <= kept and not kept & {b for _, b in got}
+            texts[len(texts)] = " ".join(w)
+    return texts
+
+
+def found_classes(spark, rows):
+    got = parity_join.jaccard_join(docs(spark, rows)).collect()
+    assert len({r["doc_id"] for r in got}) == len(got)
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_parity_join_is_brute_force(spark, seed):
+    rng = random.Random(seed)
+    texts = families(rng, [f"w{i}" for i in range([3000, 40][seed - 4])])
+    texts |= {9000: None, 9001: "...", 9002: ""}
+    want = classes_of(texts)
+    rows = [*texts.items(), (5, texts[5]), (None, texts[5])]
+    assert found_classes(spark, rows) == want
+    kept = [r["doc_id"] for r in parity_join.one_of_each(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([*(d for d in texts if want[d][0] == d), None, *([5] if want[5][0] == 5 else [])], key=str)
+
+
+def test_pairs_of_common_bits_are_found(spark):
+    """Pairs at the threshold, each shared n-gram of which stands in unrelated documents too; a chain; a star of many."""
+    rng = random.Random(14)
+    vocab = [f"v{i}" for i in range(5000)]
+    texts = {}
+    for k in range(20):
+        w = rng.sample(vocab, 12)
+        texts[1000 - 2 * k], texts[1001 - 2 * k] = " ".join(w[:10]), " ".join([*w[:8], *w[10:]])
+        for i in range(6):
+            for _ in range(4):
+                texts[len(texts) + 2000] = " ".join([*rng.sample(vocab, rng.randint(3, 8)), *w[i : i + 3], *rng.sample(vocab, rng.randint(3, 8))])
+    chain = rng.sample(vocab, 900)
+    for k in range(200):
+        texts[6000 + k * 7 % 200] = " ".join(chain[4 * k : 4 * k + 40])
+    base = rng.sample(vocab, 60)
+    for k in range(80):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(60)] = rng.choice(vocab)
+        texts[8000 + k] = " ".join(w)
+    want = classes_of(texts)
+    assert sum(want[1000 - 2 * k] == (1000 - 2 * k, 1) for k in range(20)) == 20
+    assert found_classes(spark, list(texts.items())) == want
+
+
+def test_long_runs_and_pieces_lose_nothing(spark, monkeypatch):
+    rng = random.Random(15)
+    texts = families(rng, [f"w{i}" for i in range(25)], 30)
+    want = classes_of(texts)
+    for name, value in (("SHORT", 2), ("BLOCK", 8), ("MEMBERS", 3), ("PIECE", 5), ("LOCAL", 1), ("FREQUENT", 2), ("BUCKET", 500)):
+        monkeypatch.setattr(parity_join, name, value)
+    assert found_classes(spark, list(texts.items())) == want
+    kept = {r["doc_id"] for r in parity_join.one_of_each(docs(spark, list(texts.items()))).collect()}
+    assert kept == {d for d in texts if want[d][0] == d}
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 400, rng.integers(1, 300))).astype(np.uint64) for _ in range(2))
+        x, y = (np.frombuffer(parity_join.sketch(s, len(s)), np.uint64) for s in (a, b))
+        assert parity_join.distances(x, y[None])[0] <= len(np.setxor1d(a, b))
+        assert parity_join.distances(x, x[None])[0] == 0
 
 
 def test_groups_are_connected_components(spark):

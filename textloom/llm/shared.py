@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -52,6 +53,11 @@ class Tables:
             path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def groups(edges: DataFrame, tables: Tables, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """Connected groups of an edge list: ``(node, root)`` with root the least node of each group.
