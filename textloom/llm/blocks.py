@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,58 +34,119 @@ MARKS = ("article", "main")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label".split())
 _SKIP = frozenset("script style noscript template svg math head iframe".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?|[^<>])*?)(/?)>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Comments, declarations and tags. A quoted value counts as such after an equals sign only; possessive, so that a tag that never ends is left after one pass.
+_TOKEN = re.compile(r"<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^<>])*+)>")
+_ATTR = re.compile(r"(?<![^\s\"'])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))|=\s*+(?:\"[^\"]*+\"|'[^']*+')", re.I)
 _CLOSED_BY = {"p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article aside nav header footer main blockquote pre form hr".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 
 
-def leaves(page: str) -> list[tuple[str, tuple[str, ...], int, tuple[int, ...]]]:
-    """Blocks of a page: text, path of tags with classes and ids from the root on, characters within links, and the number of the tag that each entry of the path belongs to.
+class Path:
+    """A tag below others, with the hashed vectors of the whole path down to it: each step away weighs 0.8 times as much. ``masked`` is the vector without the marks of content; ``content`` tells whether one is on the path."""
 
-    Inline tags and line breaks don't end a block. Unclosed and stray tags are taken as browsers do: an end tag closes up to its start tag, one without is ignored.
+    __slots__ = ("content", "entries", "masked", "parent", "vector")
+
+    def __init__(self, parent: Path | None, entries: tuple[str, ...]):
+        self.parent, self.entries = parent, entries
+        own, rest = (_entries_vector(x) for x in (entries, tuple(x for x in entries if x not in MARKS)))
+        zero = _entries_vector(())
+        self.vector = own + (0.8 * parent.vector if parent else zero)
+        # a tag that is masked as a whole is no step
+        self.masked = parent.masked if parent and rest is zero else rest + (0.8 * parent.masked if parent else zero)
+        self.content = bool(parent and parent.content) or any(x in MARKS for x in entries)
+
+    def names(self) -> tuple[str, ...]:
+        """All entries from the root on."""
+        out, at = [], self
+        while at:
+            out.append(at.entries)
+            at = at.parent
+        return tuple(x for e in reversed(out) for x in e)
+
+
+_ENTRIES: dict[tuple[str, ...], np.ndarray] = {(): np.zeros(TAGS, np.float32)}
+
+
+def _entries_vector(entries: tuple[str, ...]) -> np.ndarray:
+    """Hashed entries of one tag: its name, and the parts of its class, id and role; kept, as they repeat."""
+    if entries not in _ENTRIES:
+        if len(_ENTRIES) > 100_000:
+            _ENTRIES.clear()
+            _ENTRIES[()] = np.zeros(TAGS, np.float32)
+        v = np.zeros(TAGS, np.float32)
+        h = wd.scan(pa.array([re.sub(r"\W", "z", x) or "z" for x in entries])).h
+        np.add.at(v, (h % U(TAGS)).astype(np.int64), np.where(h >> U(40) & U(1), 1, -1))
+        _ENTRIES[entries] = v
+    return _ENTRIES[entries]
+
+
+def leaves(page: str) -> list[tuple[str, Path | None, int]]:
+    """Blocks of a page: text, path, and characters within links.
+
+    Inline tags and line breaks don't end a block. Unclosed and stray tags are taken as browsers do: an end tag closes up to its start tag, one without is ignored; what only begins like a tag is text.
+    The time grows with the length of the page, whatever is in it.
     """
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path | None]] = []
+    opened: Counter = Counter()
+    absent: set[str] = set()
     text: list[str] = []
     linked = [0, 0]  # depth of links, characters
 
     def flush():
         got = " ".join(entities.unescape("".join(text)).split())
         if got:
-            own = [(name, *marks) for name, marks in stack if name not in _INLINE]
-            out.append((got, tuple(x for t in own for x in t), min(linked[1], len(got)), tuple(k for k, t in enumerate(own) for _ in t)))
+            out.append((got, stack[-1][1] if stack else None, min(linked[1], len(got))))
         text.clear()
         linked[1] = 0
 
-    at, n = 0, len(page)
+    def after(pattern: str, at: int):
+        """The match of an end that is looked for; what isn't there isn't looked for again."""
+        if pattern in absent:
+            return None
+        m = re.compile(pattern, re.I).search(page, at)
+        if not m:
+            absent.add(pattern)
+        return m
+
+    def pop():
+        opened[stack.pop()[0]] -= 1
+
+    at, n, last = 0, len(page), page.rfind(">") + 1  # past the last one only a comment can begin
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, last) if at < last else None
         if not m:
-            text.append(page[at:])
-            break
-        piece = page[at : m.start()]
+            rest = page.find("<!--", at)
+            n = rest if rest >= 0 else n
+        piece = page[at : m.start() if m else n]
         if piece:
             text.append(piece)
             if linked[0]:
                 linked[1] += len(piece.strip())
+        if not m:
+            break
         at = m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else n
+            continue
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
             if name == "a":
                 linked[0] = 0
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 if name not in _INLINE:
                     flush()
-                while stack and stack.pop()[0] != name:
-                    pass
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
         if name in _SKIP:
             flush()
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = after(rf"</{name}\s*+>", at)
             if name == "head":  # its parts are skipped one by one
-                end = end or re.compile(r"<body\b", re.I).search(page, at)
+                end = end or after(r"<body\b", at)
                 at = end.end() if end and end[0][1] == "/" else (end.start() if end else at)
             else:
                 at = end.end() if end else n
@@ -98,35 +160,20 @@ def leaves(page: str) -> list[tuple[str, tuple[str, ...], int, tuple[int, ...]]]
         if name not in _INLINE:
             flush()
             while stack and name in _CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
+                pop()
         if name == "a":
             linked[0] = 1
-        if not m[4]:
-            marks = tuple(w.lower() for k in _ATTR.finditer(m[3] or "") for w in re.split(r"[\s_-]+", k[2] or k[3] or k[4] or "") if w)
-            stack.append((name, marks))
+        if not m[3].endswith("/"):
+            above = stack[-1][1] if stack else None
+            if name not in _INLINE:
+                marks = tuple(w.lower() for k in _ATTR.finditer(m[3]) if k[1] for w in re.split(r"[\s_-]+", k[2] or k[3] or k[4] or "") if w)
+                above = Path(above, (name, *marks))
+            stack.append((name, above))
+            opened[name] += 1
     flush()
     return out
 
 
-_PATHS: dict = {}
-
-
-def _path_vector(path: tuple[str, ...], tags: tuple[int, ...], masked: bool) -> np.ndarray:
-    """Hashed entries of a whole path, the nearer their tag the heavier; kept, as paths repeat."""
-    key = (path, tags, masked)
-    if key not in _PATHS:
-        v = np.zeros(TAGS, np.float32)
-        on = [(x, t) for x, t in zip(path, tags) if not (masked and x in MARKS)]
-        if on:
-            step = np.unique([t for _, t in on], return_inverse=True)[1]
-            h = wd.scan(pa.array([re.sub(r"\W", "z", x) or "z" for x, _ in on])).h
-            np.add.at(v, (h % U(TAGS)).astype(np.int64), np.where(h >> U(40) & U(1), 1, -1) * 0.8 ** (step[-1] - step))
-        if len(_PATHS) > 100_000:
-            _PATHS.clear()
-        _PATHS[key] = v
-    return _PATHS[key]
-
-
 def features(pages: list[list], masked: list[bool]) -> np.ndarray:
     """One row for each block of all pages, in order."""
     blocks = [b for p in pages for b in p]
@@ -134,7 +181,8 @@ def features(pages: list[list], masked: list[bool]) -> np.ndarray:
     x = np.zeros((n, TAGS + WORDS + COUNTS), np.float32)
     if not n:
         return x
-    x[:, :TAGS] = [_path_vector(b[1], b[3], m) for p, m in zip(pages, masked) for b in p]
+    none = _entries_vector(())
+    x[:, :TAGS] = [(b[1].masked if m else b[1].vector) if b[1] else none for p, m in zip(pages, masked) for b in p]
     w = wd.scan(pa.array([b[0] for b in blocks], pa.large_string()))
     row = wd.doc_of(w.off)
     sign = np.where((w.h >> U(40)) & U(1), 1.0, -1.0)
@@ -263,13 +311,13 @@ def _padded(xs, ys):
 
 def train(pages: list[str]) -> Labeller | None:
     """A labeller from marked-up pages; None if there are none."""
-    parsed = [b for b in map(leaves, pages) if any(m in x[1] for x in b for m in MARKS)]
+    parsed = [b for b in map(leaves, pages) if any(x[1] and x[1].content for x in b)]
     if not parsed:
         return None
     both = [(b, m) for b in parsed for m in (False, True)]
     x = features([b for b, _ in both], [m for _, m in both])
     cut = np.cumsum([len(b) for b, _ in both])[:-1]
-    ys = [np.array([any(m in blk[1] for m in MARKS) for blk in b], np.float32) for b, _ in both]
+    ys = [np.array([bool(blk[1] and blk[1].content) for blk in b], np.float32) for b, _ in both]
     model = Labeller()
     model.fit(np.split(x, cut), ys)
     return model
@@ -292,7 +340,7 @@ def label(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """``(page_id, block, text, score, content)`` for each block of each page, block counting from 0.
 
     The model is trained on at most train_pages of the pages that have an article or main tag. Without such pages all scores are null and
-    all blocks count as content. Pages of null or empty html, or without text, have no rows. Each row stands for itself: a null page_id is reported as null, repeated rows
+    all blocks count as content. Pages of null or empty html, or without text, have no rows; an empty table gives none. Very long pages are read whole, in time that grows with their length. Each row stands for itself: a null page_id is reported as null, repeated rows
     repeat. Other columns are ignored.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
