@@ -194,6 +194,89 @@ def test_quotes_link_and_order(spark):
     assert [t for _, t in order] == [0, 1, 3, 4, 2]
 
 
+def discussion(rng, conv):
+    """Random replies that quote: nested, trimmed, with and without a line of introduction. Gives rows and the parents."""
+    said, shown, rows, parents = [], [], [], {}
+    for turn in range(rng.randint(2, 14)):
+        own = [f"{text(rng, rng.randint(4, 9), WORDS).capitalize()} {conv} {turn} {k}." for k in range(rng.randint(1, 4))]
+        parent = rng.choice([None, *range(turn)]) if turn else None
+        quote = []
+        if parent is not None:
+            old = [f"> {x}" for x in shown[parent]] if rng.random() < 0.6 else []
+            picked = sorted(rng.sample(range(len(said[parent])), rng.randint(1, len(said[parent]))))  # trimmed
+            quote = [f">{x}" if x.startswith(">") else f"> {x}" for x in (y[2:] for y in old)] + [f"> {said[parent][i]}" for i in picked]
+            if rng.random() < 0.5:
+                quote = [f"On Monday {rng.choice(WORDS)} wrote:", *quote]
+        parents[turn] = parent
+        said.append(own)
+        shown.append([x for x in quote if x.startswith(">")] + own)
+        lines = [*own, *quote] if rng.random() < 0.3 else [*quote, *own]
+        rows.append((conv, turn, "user", "\n".join(lines)))
+    return rows, parents, {k: "\n".join(v) for k, v in enumerate(said)}
+
+
+def brute_threads(rows):
+    """Line by line: what each message says, and which earlier one most of its outermost linked quotes come from."""
+    said, quoted, out = {}, {}, {}
+    norm = lambda s: tuple(re.findall(r"\w+", s.lower()))
+    for _, turn, _, t in rows:
+        own, quotes_, lines = [], [], (t or "").split("\n")
+        for i, line in enumerate(lines):
+            level, rest = 0, line
+            while re.match(r"[ \t]{0,3}>", rest):
+                rest = re.sub(r"^[ \t]{0,3}>[ \t]?", "", rest, count=1)
+                level += 1
+            if level:
+                quotes_.append((level, rest))
+            elif not (re.search(r"wrote:$", line) and i + 1 < len(lines) and lines[i + 1].startswith(">")):
+                own.append(line)
+        said[turn], quoted[turn] = {norm(x) for x in own if len(norm(x)) >= quotes.MIN_WORDS}, quotes_
+        votes = Counter((v, e) for v, q in quotes_ for e in said if e < turn and norm(q) in said[e])
+        best = min(votes, key=lambda k: (k[0], -votes[k], -k[1]), default=None)
+        before = max((e for e in said if e < turn), default=None)
+        out[turn] = (best[1] if best else before, best is not None, "\n".join(own), max((v for v, _ in quotes_), default=0))
+    kids = defaultdict(list)
+    for turn, r in out.items():
+        kids[r[0]].append(turn)
+    order = []
+
+    def walk(turn, depth):
+        order.append((turn, depth))
+        for k in kids[turn]:
+            walk(k, depth + 1)
+
+    for k in kids[None]:
+        walk(k, 0)
+    place = {turn: (d, p) for p, (turn, d) in enumerate(order)}
+    return {turn: (*r, *place[turn]) for turn, r in out.items()}
+
+
+def test_threads_are_brute_force(spark):
+    rng = random.Random(21)
+    rows, want, linked = [], {}, 0
+    for conv in range(60):
+        own, parents, said = discussion(rng, conv)
+        rows += own
+        brute = brute_threads(own)
+        want |= {(conv, turn): r for turn, r in brute.items()}
+        for turn, parent in parents.items():
+            assert brute[turn][2] == said[turn]
+            if parent is not None:
+                linked += 1
+                assert brute[turn][:2] == (parent, True)
+    assert linked > 150 and max(r[3] for r in want.values()) >= 3
+    got = quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): (r["reply_to"], r["linked"], r["text"], r["levels"], r["depth"], r["position"]) for r in got} == want
+
+
+def test_long_messages_take_linear_time():
+    for t in ("> a b c\n" * 50_000, "x wrote:\n" * 50_000, ">" * 200_000, "a b c. " * 50_000, "\n" * 200_000, "> \n\n" * 50_000):
+        began = time.process_time()
+        quotes.parse(t)
+        assert time.process_time() - began < 2
+    assert quotes.levels(">>> > x")[0] == (4, "x") and quotes.levels("     > x")[0][0] == 0
+
+
 # 4
 
 
@@ -616,6 +699,54 @@ def test_secrets_are_confirmed_by_structure(spark):
     assert texts[None].encode()[got[4]["start_byte"] : got[4]["end_byte"]].decode() == token
 
 
+def dsa():
+    return tlv(0x30, b"".join(map(integer, (0, (1 << 255) - 19, 101, 7, 55, 1234567))))
+
+
+def sec1(rng):
+    return tlv(0x30, integer(1) + tlv(4, rng.randbytes(32)) + tlv(0xA0, tlv(6, bytes.fromhex("2a8648ce3d030107"))))
+
+
+def openssh(rng):
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    return b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(part(b"ssh-ed25519") + part(rng.randbytes(32))) + part(rng.randbytes(120))
+
+
+def test_planted_secrets_are_found_in_every_encoding(spark):
+    rng = random.Random(31)
+    wrap = lambda s, n, end="\n": end.join(s[i : i + n] for i in range(0, len(s), n))
+    b64 = lambda x: base64.b64encode(x).decode()
+    keys = {
+        "rsa_private_key": lambda: rsa(),
+        "dsa_private_key": lambda: dsa(),
+        "ec_private_key": lambda: sec1(rng),
+        "pkcs8_ed25519_private_key": lambda: tlv(0x30, integer(0) + tlv(0x30, tlv(6, bytes.fromhex("2b6570"))) + tlv(4, tlv(4, rng.randbytes(32)))),
+        "openssh_private_key": lambda: openssh(rng),
+    }
+    shapes = [b64, lambda x: x.hex(), lambda x: b64url(x), lambda x: wrap(b64(x), 64), lambda x: wrap(b64(x), 76, "\r\n"), lambda x: wrap(b64(x), 48, "\n    "), lambda x: b64(b64(x).encode()), lambda x: f"-----BEGIN PRIVATE KEY-----\n{wrap(b64(x), 64)}\n-----END PRIVATE KEY-----"]
+    noise = [lambda: rng.randbytes(32).hex(), lambda: b64(rng.randbytes(64)), lambda: wrap(b64(rng.randbytes(300)), 64), lambda: b64url(b'{"typ":"x"}') + "." + b64url(b"{}") + "." + b64url(rng.randbytes(32)), lambda: "-----BEGIN CERTIFICATE-----\n" + wrap(b64(rng.randbytes(300)), 64) + "\n-----END CERTIFICATE-----"]
+    rows, want = [], set()
+    for d, (kind, shape) in enumerate(itertools.product(keys, shapes)):
+        key = shape(keys[kind]())
+        head = f"{text(rng, 9)} é\n{rng.choice(noise)()}\n\n{rng.choice(['key: ', '', 'x ', '\"'])}"
+        rows.append((d, f"{head}{key}\n\n{rng.choice(noise)()}\n {text(rng, 5)}"))
+        want.add((d, len(head.encode()), len((head + key).encode()), kind))
+        broken = bytearray(keys[kind]())
+        broken[1 if kind != "openssh_private_key" else 3] ^= 1
+        rows.append((1000 + d, f"{text(rng, 9)} {shape(bytes(broken))} {text(rng, 5)}"))
+    rows += [(2000 + i, rng.choice(noise)()) for i in range(40)]
+    got = {(r["doc_id"], r["start_byte"], r["end_byte"], r["kind"]) for r in secrets.secrets(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_secret_scan_takes_linear_time():
+    for t in ("-----BEGIN RSA PRIVATE KEY-----\nabcd\n" * 5_000, "eyJ" * 100_000, "eyJ.a." * 50_000, ("a" * 64 + "\n") * 20_000, "a=" * 200_000, "-----BEGIN " * 30_000):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], ["doc_id", "text"])
+        began = time.process_time()
+        assert sum(b.num_rows for b in secrets._scan(secrets.MIN_CHARS)([batch])) == 0
+        assert time.process_time() - began < 3
+
+
 # 10
 
 

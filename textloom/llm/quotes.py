@@ -20,7 +20,7 @@ from .shared import Tables
 
 #: A sentence of fewer words says too little of where it comes from; a passage that is shorter as a whole counts as one sentence.
 MIN_WORDS = 3
-_MARK = re.compile(r"^[ \t]{0,3}>[ \t]?")
+_MARKS = re.compile(r"(?:[ \t]{0,3}>[ \t]?)*+")
 _INTRO = re.compile(r"^.{0,200}(wrote|schrieb|a écrit|écrit|escribió|said)\s*:\s*$", re.I)
 _DASHES = re.compile(r"^\s*-{2,}\s*(original message|ursprüngliche nachricht|message d'origine|mensaje original)\s*-{2,}\s*$", re.I)
 
@@ -29,28 +29,26 @@ def levels(text: str) -> list[tuple[int, str]]:
     """Each line's quote level and what stands behind the marks."""
     out = []
     for line in text.split("\n"):
-        level = 0
-        while (m := _MARK.match(line)) and level < 100:
-            line, level = line[m.end() :], level + 1
-        out.append((level, line.rstrip("\r")))
+        marks = _MARKS.match(line)[0]
+        out.append((marks.count(">"), line[len(marks) if marks else 0 :].rstrip("\r")))
     return out
 
 
-def sentences(passage: str) -> list[str]:
+def sentences(passage: str, min_words: int = MIN_WORDS) -> list[str]:
     """Normalised sentences: lower-cased words joined by spaces."""
     cut = [" ".join(re.findall(r"\w+", s.lower())) for s in re.split(r"(?<=[.!?…])\s+|\n\s*\n", passage)]
-    good = [s for s in cut if s.count(" ") + 1 >= MIN_WORDS]
+    good = [s for s in cut if s.count(" ") + 1 >= min_words]
     whole = " ".join(s for s in cut if s)
     return good or ([whole] if whole else [])
 
 
-def parse(text: str | None) -> tuple[str, list[tuple[int, str]], list[str]]:
+def parse(text: str | None, min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, str]], list[str]]:
     """What the message says itself, its quoted passages with levels, and its own sentences."""
     lines = levels(text or "")
     own, passages = [], []
     for i, (level, line) in enumerate(lines):
         if level == 0:
-            nxt = next((v for v, x in lines[i + 1 :][:2] if x.strip() or v), 0)
+            nxt = next((v for v, x in lines[i + 1 : i + 3] if x.strip() or v), 0)
             if _DASHES.match(line) or (_INTRO.match(line) and nxt > 0):
                 continue
             own.append(line)
@@ -59,19 +57,22 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]], list[str]]:
         else:
             passages.append((level, [line]))
     said = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if passages else text or ""
-    return said, [(v, "\n".join(x)) for v, x in passages], sentences(said)
+    return said, [(v, "\n".join(x)) for v, x in passages], sentences(said, min_words)
 
 
 def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _parsed(batches):
-    for b in batches:
-        rows = [parse(t) for t in b.column(2).to_pylist()]
-        quoted = [[{"level": v, "h": _hash(s)} for v, p in r[1] for s in sentences(p)] for r in rows]
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("h", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([r[0] for r in rows], pa.string()), pa.array([max([v for v, _ in r[1]], default=0) for r in rows], pa.int32()), pa.array(quoted, kind), pa.array([[_hash(s) for s in r[2]] for r in rows], pa.list_(pa.int64()))], ["conv_id", "turn", "role", "text", "levels", "quoted", "own"])
+def _parsed(min_words: int):
+    def run(batches):
+        for b in batches:
+            rows = [parse(t, min_words) for t in b.column(2).to_pylist()]
+            quoted = [[{"level": v, "h": _hash(s)} for v, p in r[1] for s in sentences(p, min_words)] for r in rows]
+            kind = pa.list_(pa.struct([("level", pa.int32()), ("h", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([r[0] for r in rows], pa.string()), pa.array([max([v for v, _ in r[1]], default=0) for r in rows], pa.int32()), pa.array(quoted, kind), pa.array([[_hash(s) for s in r[2]] for r in rows], pa.list_(pa.int64()))], ["conv_id", "turn", "role", "text", "levels", "quoted", "own"])
+
+    return run
 
 
 def _ordered(batches):
@@ -106,20 +107,20 @@ def _ordered(batches):
     yield batch(out + (closed(conv, rows) if rows else []))
 
 
-def threads(messages: DataFrame) -> DataFrame:
+def threads(messages: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(conv_id, turn, role, text, levels, reply_to, linked, depth, position)``: each message without quotes, in reply order within its conversation.
 
     levels: the deepest quote level of the message. reply_to: the turn it replies to: the earlier message that most of its quoted sentences of level 1 come from, or of
     the next level if none does, the latest of several equal ones (linked is true); without such, the message before it (linked is false); null for the first. depth and position count from 0.
 
-    A message that quotes nothing keeps its text as it is. A null text becomes empty. Rows with a null conv_id or turn have no place in an order and are left out; of repeated
+    Quoted sentences of fewer than min_words words tell nothing; a passage that has no longer ones counts as one. A message that quotes nothing keeps its text as it is, however long; an empty table gives no rows. A null text becomes empty. Rows with a null conv_id or turn have no place in an order and are left out; of repeated
     (conv_id, turn), the least (role, text) counts. Other columns are ignored.
     """
     tables = Tables(messages.sparkSession, "threads")
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), F.col("role").cast("string").alias("role")).where("conv_id is not null and turn is not null")
     one = base.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.text", "m.role")
     kind = "conv_id long, turn long, role string, text string, levels int, quoted array<struct<level:int,h:long>>, own array<long>"
-    rows = tables.write(one.mapInArrow(_parsed, kind), "messages")
+    rows = tables.write(one.mapInArrow(_parsed(min_words), kind), "messages")
     quoted = rows.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.h")
     own = rows.select("conv_id", F.col("turn").alias("source"), F.explode(F.array_distinct("own")).alias("h"))
     hits = quoted.join(own, ["conv_id", "h"]).where("source < turn")

@@ -12,6 +12,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,10 @@ from . import words as wd
 MIN_CHARS = 32
 _CHARS = np.zeros(256, bool)
 _CHARS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-."]] = True
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\:,-]*?)-----END \1-----")
+#: Possessive, and ended by any five dashes: each block is gone through once.
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s\\:,]|-(?!----))*+)-----END \1-----")
+#: A token within a longer run of its characters.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++){2,4}")
 _OIDS = {
     bytes.fromhex("2a864886f70d010101"): "rsa",
     bytes.fromhex("2a8648ce3d0201"): "ec",
@@ -162,7 +166,7 @@ def _token_kind(text: str) -> str | None:
     return "signed_token" if alg[:2] in ("RS", "PS") and any(len(x) in (128, 256, 384, 512) for x in body) else None
 
 
-def confirm(text: str) -> str | None:
+def confirm(text: str, min_chars: int = MIN_CHARS) -> str | None:
     """The kind of secret that a candidate is, or None."""
     if "." in text:
         kind = _token_kind(text.strip("."))
@@ -176,7 +180,7 @@ def confirm(text: str) -> str | None:
             inner = data.decode().strip()
             pem = _PEM.search(data)
             again = re.sub(r"\s|\\n", "", pem[2].decode()) if pem else inner
-            for more in _decoded(again) if len(again) >= MIN_CHARS else []:
+            for more in _decoded(again) if len(again) >= min_chars else []:
                 kind = _der_kind(more) or _openssh_kind(more)
                 if kind:
                     return kind
@@ -197,61 +201,94 @@ def find(data: bytes) -> list[tuple[int, int, str, bytes]]:
     return out
 
 
-def _scan(batches):
-    for b in wd.slices(batches):
-        data, off = wd.buffers(b.column(1))
-        got = []
-        if len(data):
-            ok = _CHARS[data]
-            inner = off[(off > 0) & (off < len(data))]
-            first, last = ok.copy(), ok.copy()
-            first[1:] &= ~ok[:-1]
-            last[:-1] &= ~ok[1:]
-            first[inner], last[inner - 1] = ok[inner], ok[inner - 1]
-            start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-            long = end - start >= MIN_CHARS
-            raw = data.tobytes()
-            at = raw.find(b"-----BEGIN ")
-            pems = set()
-            while at >= 0:
-                pems.add(int(np.searchsorted(off, at, side="right")) - 1)
-                at = raw.find(b"-----BEGIN ", at + 1)
-            inside = {}
-            for k in sorted(pems):
-                for s, e, kind, text in find(raw[off[k] : off[k + 1]]):
-                    got.append((k, s, e, kind, text))
-                    inside.setdefault(k, []).append((s, e))
-            for s, e in zip(start[long].tolist(), end[long].tolist()):
-                k = int(np.searchsorted(off, s, side="right")) - 1
-                s0, e0 = s - int(off[k]), e - int(off[k])
-                if any(lo <= s0 < hi for lo, hi in inside.get(k, [])):
-                    continue
-                text = raw[s:e].decode("ascii")
-                kind = confirm(text)
-                if not kind:  # a name and an equals sign, or sentence points, can touch the candidate
-                    for m in re.finditer(r"[^=.]+={0,2}", text):
-                        if len(m[0]) >= MIN_CHARS and m[0] != text and (kind := confirm(m[0])):
-                            s0, e0, text = s0 + m.start(), s0 + m.end(), m[0]
-                            break
-                    else:
-                        m = re.search(r"eyJ[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]+){2,4}", text)
-                        if m and m[0] != text and (kind := confirm(m[0])):
-                            s0, e0, text = s0 + m.start(), s0 + m.end(), m[0]
-                if kind:
-                    got.append((k, s0, e0, kind, text.encode()))
-        got.sort()
-        rows = pa.array([g[0] for g in got], pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.string()), pa.array([hashlib.sha256(g[4]).hexdigest() for g in got], pa.string())], ["doc_id", "start_byte", "end_byte", "kind", "fingerprint"])
+def _wrapped(raw: bytes, runs: list[tuple[int, int]], k: int) -> int:
+    """Number of the last run of those that continue run k on the next lines: all of one length, the last one of it or less; k if there are none."""
+    size, j = runs[k][1] - runs[k][0], k
+    while j + 1 < len(runs) and runs[j][1] - runs[j][0] == size and runs[j + 1][1] - runs[j + 1][0] <= size:
+        gap = raw[runs[j][1] : min(runs[j + 1][0], runs[j][1] + 16)]
+        if len(gap) != runs[j + 1][0] - runs[j][1] or gap.strip() or gap.count(b"\n") != 1:
+            break
+        j += 1
+    return j
+
+
+def _confirmed(text: str, min_chars: int) -> tuple[int, str, str] | None:
+    """Where in a run of characters a secret begins, the secret, and its kind."""
+    kind = confirm(text, min_chars)
+    if kind:
+        return 0, text, kind
+    for m in re.finditer(r"[^=.]+={0,2}", text):  # a name and an equals sign, or sentence points, can touch the candidate
+        if len(m[0]) >= min_chars and m[0] != text and (kind := confirm(m[0], min_chars)):
+            return m.start(), m[0], kind
+    m = _TOKEN.search(text)
+    if m and m[0] != text and (kind := confirm(m[0], min_chars)):
+        return m.start(), m[0], kind
+    return None
 
 
-def secrets(docs: DataFrame) -> DataFrame:
+def _scan(min_chars: int):
+    def run(batches):
+        for b in wd.slices(batches):
+            data, off = wd.buffers(b.column(1))
+            got = []
+            if len(data):
+                ok = _CHARS[data]
+                inner = off[(off > 0) & (off < len(data))]
+                first, last = ok.copy(), ok.copy()
+                first[1:] &= ~ok[:-1]
+                last[:-1] &= ~ok[1:]
+                first[inner], last[inner - 1] = ok[inner], ok[inner - 1]
+                start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+                raw = data.tobytes()
+                at = raw.find(b"-----BEGIN ")
+                pems, done = set(), []
+                while at >= 0:
+                    pems.add(int(np.searchsorted(off, at, side="right")) - 1)
+                    at = raw.find(b"-----BEGIN ", at + 1)
+                for k in sorted(pems):
+                    for s, e, kind, text in find(raw[off[k] : off[k + 1]]):
+                        got.append((k, s, e, kind, text))
+                        done.append((int(off[k]) + s, int(off[k]) + e))
+                # runs that are long enough, and the one after each, which can be its last line
+                long = end - start >= min_chars
+                near = np.flatnonzero(long | np.r_[False, long[:-1]])
+                runs = list(zip(start[near].tolist(), end[near].tolist()))
+                text_of = (np.searchsorted(off, start[near], side="right") - 1).tolist()
+                i = 0
+                while i < len(runs):
+                    s, e = runs[i]
+                    k, lo = text_of[i], int(off[text_of[i]])
+                    past = bisect(done, (s, len(data))) - 1
+                    if e - s < min_chars or (past >= 0 and s < done[past][1]):
+                        i += 1
+                        continue
+                    j = _wrapped(raw, runs, i)
+                    while text_of[j] != k:
+                        j -= 1
+                    if j > i and (kind := confirm(re.sub(r"\s", "", raw[s : runs[j][1]].decode("ascii")), min_chars)):
+                        got.append((k, s - lo, runs[j][1] - lo, kind, raw[s : runs[j][1]]))
+                    else:  # else each line stands for itself
+                        for s, e in runs[i : j + 1]:
+                            hit = e - s >= min_chars and _confirmed(raw[s:e].decode("ascii"), min_chars)
+                            if hit:
+                                got.append((k, s - lo + hit[0], s - lo + hit[0] + len(hit[1]), hit[2], hit[1].encode()))
+                    i = j + 1
+            got.sort()
+            rows = pa.array([g[0] for g in got], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.string()), pa.array([hashlib.sha256(g[4]).hexdigest() for g in got], pa.string())], ["doc_id", "start_byte", "end_byte", "kind", "fingerprint"])
+
+    return run
+
+
+def secrets(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(doc_id, start_byte, end_byte, kind, fingerprint)`` of confirmed secrets; positions are in the UTF-8 text, fingerprint is the SHA-256 of the secret, which isn't shown itself.
 
-    Runs of the shape alone, like hashes and digests, aren't reported, nor are public keys. Null and empty texts have none. Each row
+    Candidates have min_chars characters or more. Lines of one length that follow each other are tried as one candidate first. Runs of the shape alone, like hashes and digests, aren't reported, nor are
+    public keys. Null and empty texts have none, an empty table gives no rows, and very long texts are read whole, in linear time. Each row
     stands for itself: a null doc_id is reported as null, repeated rows repeat. Other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(_scan, "doc_id long, start_byte int, end_byte int, kind string, fingerprint string")
+    return base.mapInArrow(_scan(min_chars), "doc_id long, start_byte int, end_byte int, kind string, fingerprint string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
