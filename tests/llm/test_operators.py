@@ -524,6 +524,58 @@ def test_splitting_tree_is_a_draw_without_replacement():
     assert var[0] == pytest.approx(4 * 0.5 * 0.5 * 96 / 99, rel=0.35)
 
 
+def test_large_counts_are_drawn():
+    rng = np.random.default_rng(1)
+    blocks_ = np.array([6_000_000_000, 3_000_000_000, 1_000_000_000])
+    got = np.array([mixture.draw(rng, blocks_, 10**6) for _ in range(300)])
+    assert (got.sum(1) == 10**6).all()
+    assert np.allclose(got.mean(0), [600_000, 300_000, 100_000], rtol=1e-3)
+    assert got.std(0) == pytest.approx(np.sqrt(10**6 * np.array([0.24, 0.21, 0.09])), rel=0.2)
+    first = next(mixture.split((0, 1 << 25), np.zeros(3, np.int64), blocks_, 300, 3, 1 << 24))
+    assert first[2].sum() == 300 << 24 and (first[2] <= blocks_).all()
+    assert mixture.hypergeometric(rng, 0, 10**10, 5) == 0 and mixture.hypergeometric(rng, 10**10, 0, 5) == 5 and mixture.hypergeometric(rng, 2 * 10**9, 3, 2 * 10**9 + 3) == 2 * 10**9
+
+
+def test_inversion_is_the_distribution(monkeypatch):
+    """The draw for large counts, made for small ones, against the exact probabilities."""
+    from math import comb
+
+    class Fixed:
+        def __init__(self, x):
+            self.x = x
+
+        def random(self):
+            return self.x
+
+    good, bad, sample = 30, 50, 20
+    exact = np.cumsum([comb(good, k) * comb(bad, sample - k) / comb(80, sample) for k in range(21)])
+    source = __import__("inspect").getsource(mixture.hypergeometric).replace("10**9", "0")
+    own: dict = {"np": np}
+    exec(source, own)
+    for x in np.linspace(0.0005, 0.9995, 400):
+        assert own["hypergeometric"](Fixed(x), good, bad, sample) == int(np.searchsorted(exact, x, side="right"))
+
+
+def test_equal_ids_and_null_ids_are_told_apart(spark):
+    rows = [(1 if i % 2 else None, "a", f"text {i}") for i in range(600)] + [(1, "a", "same")] * 20
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    one = mixture.mixed_documents(d, total=300, block=8, per_shard=4).collect()
+    two = mixture.mixed_documents(d.repartition(5), total=300, block=8, per_shard=4).collect()
+    assert Counter(one) == Counter(two) and len(one) == 300 and max(Counter(r for r in one if r["text"] != "same").values()) == 1
+
+
+def test_named_targets_and_the_rest(spark):
+    rows = [(i, f"src{i % 7 if i % 3 else 0}", "t") for i in range(4200)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    counts = Counter(r[1] for r in rows)
+    got = Counter(r["source"] for r in mixture.mix(d, mixture.WEIGHTS).collect())
+    total = sum(got.values())
+    share = {s: n**mixture.TEMPERATURE for s, n in counts.items() if s != "src0"}
+    want = {"src0": 0.2} | {s: 0.8 * x / sum(share.values()) for s, x in share.items()}
+    assert all(abs(got[s] - w * total) <= len(want) for s, w in want.items())
+    assert any(counts[s] - got[s] <= 1 for s in counts)
+
+
 # 8
 
 

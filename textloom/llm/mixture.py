@@ -21,6 +21,10 @@ from pyspark.sql.window import Window
 TEMPERATURE = 0.7
 #: Times that a document of a rare source may be drawn to meet the source's share of a stated total.
 REPEATS = 4
+#: Stands in weights for all sources that aren't named.
+REST = object()
+#: Target weights of the registered query: the largest source gets a fifth of the mix.
+WEIGHTS = {"src0": 0.2, REST: 0.8}
 BLOCK = 64
 PER_SHARD = 32
 TOP = 1024
@@ -59,11 +63,37 @@ def quotas(counts: dict[str, int], weights: dict[str, float], total: int | None
     return {s: q for s, q in out.items() if q > 0}
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """Good ones among ``sample`` drawn without replacement. For counts beyond numpy's, by inversion over nine standard deviations on either side of the mean, beyond which less than the rounding of a double is left."""
+    n = good + bad
+    if n < 10**9:
+        return int(rng.hypergeometric(good, bad, sample))
+    mean = sample * (good / n)
+    deviation = np.sqrt(mean * (bad / n) * ((n - sample) / (n - 1)))
+    lo, hi = max(0, sample - bad, int(mean - 9 * deviation - 10)), min(good, sample, int(mean + 9 * deviation + 10))
+    k = np.arange(lo, hi, dtype=np.float64)
+    log = np.concatenate([[0.0], np.cumsum(np.log((good - k) * (sample - k) / ((k + 1) * (bad - sample + k + 1))))])
+    p = np.cumsum(np.exp(log - log.max()))
+    return lo + int(np.searchsorted(p, rng.random() * p[-1], side="right"))
+
+
+def draw(rng: np.random.Generator, blocks: np.ndarray, sample: int) -> np.ndarray:
+    """A multivariate-hypergeometric draw, source by source."""
+    if blocks.sum() < 10**9:
+        return rng.multivariate_hypergeometric(blocks, sample, method="marginals")
+    out, rest = np.zeros(len(blocks), np.int64), int(blocks.sum())
+    for i, n in enumerate(blocks.tolist()):
+        rest -= n
+        out[i] = hypergeometric(rng, n, rest, sample)
+        sample -= int(out[i])
+    return out
+
+
 def _halves(shards: tuple[int, int], blocks: np.ndarray, per_shard: int, seed: int):
     a, b = shards
     mid = (a + b) // 2
     room = min((mid - a) * per_shard, int(blocks.sum()))
-    left = np.random.default_rng([seed, a, b]).multivariate_hypergeometric(blocks, room, method="marginals")
+    left = draw(np.random.default_rng([seed, a, b]), blocks, room)
     return ((a, mid), left), ((mid, b), blocks - left)
 
 
@@ -89,17 +119,21 @@ def _leaves(per_shard: int, seed: int):
     return run
 
 
-def _mixed(docs: DataFrame, weights, temperature: float, block: int, per_shard: int, seed: int, total: int | None, repeats: int) -> DataFrame | None:
-    """Rows (row, source, shard, position); row has docs' columns."""
+def _mixed(docs: DataFrame, kept: list[str], weights, temperature: float, block: int, per_shard: int, seed: int, total: int | None, repeats: int) -> DataFrame | None:
+    """Rows (row, shard, position); row has docs' columns ``kept``."""
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", key), 1)
+    # what tells rows of one doc_id, or without one, apart; rows that are equal throughout may change places
+    content = F.xxhash64(*(f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", key, F.when(F.col("doc_id").isNull(), content)), 1)
     counts = {r[0]: r[1] for r in docs.groupBy(key.alias("k")).count().collect()}
     if weights is None:
         given = {k: float(n) ** temperature for k, n in counts.items()}
         total = sum(counts.values()) if total is None else total
     else:
-        given = {"null" if k is None else f"s{k}": float(w) for k, w in weights.items()}
+        given = {"null" if k is None else f"s{k}": float(w) for k, w in weights.items() if k is not REST}
+        others = {k: float(n) ** temperature for k, n in counts.items() if k not in given}
+        given |= {k: weights.get(REST, 0.0) * x / sum(others.values()) for k, x in others.items()}
     quota = quotas(counts, given, total, repeats)
     if not quota:
         return None
@@ -115,31 +149,31 @@ def _mixed(docs: DataFrame, weights, temperature: float, block: int, per_shard:
     leaves = leaves.join(table, "s").select("k", "block", "shard")
 
     bits = max(0, int(np.ceil(np.log2(max(1, sum(counts.values()) / BUCKET)))))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), key.alias("k"), h.alias("h"))
+    rows = docs.select(F.struct(*(f"`{c}`" for c in kept)).alias("row"), F.col("doc_id").alias("id"), key.alias("k"), h.alias("h"), content.alias("content"))
     bucket = F.shiftrightunsigned("h", 63 - bits) if bits else F.lit(0).cast("long")
     rows = rows.withColumn("bucket", bucket)
     sizes = docs.select(key.alias("k"), h.alias("h")).withColumn("bucket", bucket).groupBy("k", "bucket").count()
     sizes = sizes.select("k", "bucket", (F.sum("count").over(Window.partitionBy("k").orderBy("bucket")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("k", "bucket").orderBy("h", "id")) - 1
+    rank = F.row_number().over(Window.partitionBy("k", "bucket").orderBy("h", "id", "content")) - 1
     rows = rows.withColumn("within", rank).join(sizes, ["k", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
     # the runs of a source that is repeated go on through its permutation again
     rows = rows.join(table.select("k", "quota", "count"), "k").where("rank < quota").withColumn("rank", F.explode(F.sequence("rank", F.col("quota") - 1, "count")))
     rows = rows.withColumn("block", F.floor(F.col("rank") / block)).join(leaves, ["k", "block"])
-    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "id", "k", "rank"), "rank")
+    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "id", "k", "rank"), "k", "rank")
     return rows.select("row", "id", "shard", (F.row_number().over(local) - 1).alias("position"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, block: int = BLOCK, per_shard: int = PER_SHARD, seed: int = SEED, total: int | None = None, repeats: int = REPEATS) -> DataFrame:
     """``(doc_id, source, shard, position)`` of the documents drawn; position counts from 0 within its shard.
 
-    weights maps sources (None for a null source) to shares; sources that aren't in it get none. By default each source's share goes with its
+    weights maps sources (None for a null source) to shares; sources that aren't in it share that of REST at their counts to the power of temperature, or get none. By default each source's share goes with its
     count to the power of temperature, and the total is the number of documents. With a total, documents of rare sources are drawn up to ``repeats`` times to meet their shares,
     and what a source still lacks goes to the others. Given weights without a total are met exactly, by the largest quotas that repeat no document. All shards have per_shard blocks but the last;
     blocks have ``block`` documents but the last of each source. Each row counts as a document: null doc_ids and repeated rows
-    are drawn like others. Of an empty table, or without positive weights, nothing is drawn. Other columns are ignored.
+    are drawn like others; rows of one doc_id are told apart, and rows without one spread, by a hash of all columns. Texts, however long, count for that only. Of an empty table, or without positive weights, nothing is drawn. Other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    out = _mixed(base, weights, temperature, block, per_shard, seed, total, repeats)
+    base = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string")})
+    out = _mixed(base, ["doc_id", "source"], weights, temperature, block, per_shard, seed, total, repeats)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, source string, shard long, position int")
     return out.select("row.doc_id", "row.source", "shard", "position")
@@ -148,14 +182,14 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPE
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents drawn by ``mix``, with all their columns, in order of shard and position, whole shards to a partition."""
     how = {"weights": None, "temperature": TEMPERATURE, "block": BLOCK, "per_shard": PER_SHARD, "seed": SEED, "total": None, "repeats": REPEATS} | how
-    out = _mixed(docs, **how)
+    out = _mixed(docs, docs.columns, **how)
     if out is None:
         return docs.limit(0)
     return out.sortWithinPartitions("shard", "position").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), WEIGHTS)
 
 
 #: Draws from a seeded generator have no SQL form; tests check quotas, disjointness and the tree's distribution.
