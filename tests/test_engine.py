@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from textloom.functions import analysis as an
 from textloom.functions import automata as au
-from textloom.functions import norms, scalars
+from textloom.functions import bitsets, norms, scalars
 from textloom.operators import search as se
 from textloom.operators.explain import explain
 from textloom.operators.index import build, check
 from textloom.plans.config import DOCS, KEYWORD, POSITIONS, STORED, TEXT, FieldOptions, IndexConfig
 from textloom.plans.parser import ParseError, Parser
 from textloom.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Pattern, Phrase, Term, must, should
-from textloom.sources.store import Conflict, Store
+from textloom.plans.similarity import PerField, Similarity
+from textloom.sources.store import Conflict, Store, Tiers
 from textloom.streaming.indexer import index_stream
 
 
@@ -64,6 +65,59 @@ def test_scalars(spark):
     assert list(row) == [64, 12, "zz", 1295, -158146830731166066, 3]
 
 
+def test_more_scalars(spark):
+    one = lambda *c: list(spark.range(1).select(*c).first())
+    assert [scalars.string_hash(x) for x in ("", "a", "ab")] == [0, 97, (97 * 16777619 + 98) % 2**32]
+    words = ["", "a", "hello world", "é漢字😀"]
+    got = spark.createDataFrame([(w,) for w in [*words, None]], "s string").select(scalars.rolling_hash(F.col("s")), scalars.murmur3(F.col("s"), 7)).collect()
+    assert [r[0] for r in got] == [*map(scalars.string_hash, words), None]
+    assert [r[1] for r in got] == [*(scalars.murmur3_bytes(w.encode(), 7) for w in words), None]
+    assert one(*(scalars.trailing_zeros(F.lit(x)) for x in (0, 1, 8, -(2**63), -2))) == [64, 0, 3, 63, 1]
+    assert one(*(scalars.integer_log(F.lit(x), 3) for x in (-5, 0, 1, 2, 3, 80, 81))) == [0, 0, 0, 0, 1, 3, 4]
+    assert one(*(scalars.max_value(F.lit(b)) for b in (0, 1, 2, 63, 64))) == [0, 1, 3, 2**63 - 1, 2**63 - 1]
+    assert one(scalars.packed_bytes(F.lit(3), F.lit(7)), scalars.packed_bytes(F.lit(2**31 - 1), F.lit(64)), scalars.packed_bytes(F.lit(13), F.lit(21), True)) == [3, 8 * (2**31 - 1), 40]
+    f = F.lit("_0_Lucene41_0.doc".replace("Lucene", "Codec"))
+    assert one(scalars.segment_name(f), scalars.strip_segment_name(f), scalars.strip_segment_name(F.lit("_0.fnm")), scalars.segment_name(F.lit("segments")), scalars.strip_segment_name(F.lit("segments"))) == ["_0", "_Codec41_0.doc", ".fnm", "segments", "segments"]
+    assert one(*(scalars.file_generation(F.lit(x)) for x in ("_0.fnm", "_0_zz.del", "_0_codec_0.doc", "_0_1_codec_0.doc", "x_1.del"))) == [0, 1295, 0, 1, None]
+    name = lambda g: scalars.generation_name(F.lit("segments"), F.lit(""), F.lit(g))
+    assert one(name(-1), name(0), name(37), scalars.segment_file(F.lit("_1"), F.lit("x"), F.lit("doc"))) == ["", "segments", "segments_11", "_1_x.doc"]
+    version = lambda v: scalars.version_number(F.lit(v))
+    assert one(*map(version, ("4.10.1", "4.9", "4.0.0.1", "", "4", "4.x", "4.1.0.1", "4.0.0.3", "256.0"))) == [4 << 18 | 10 << 10 | 4, 4 << 18 | 9 << 10, 4 << 18 | 1, None, None, None, None, None, None]
+    assert one(scalars.on_or_after(F.lit("4.10.1"), F.lit("4.9.0")), scalars.on_or_after(F.lit("4.0.0.1"), F.lit("4.0.1"))) == [True, False]
+    units = lambda *u: scalars.valid_utf16(F.array(*map(F.lit, u)).cast("array<int>"))
+    assert one(units(0x41), units(0xD800, 0xDC00), units(0xD800), units(0xDC00), units(0xD800, 0x41), units(0xD800, 0xD800, 0xDC00), units()) == [True, True, False, False, False, False, True]
+
+
+def test_bit_sets(spark):
+    of = lambda *n: bitsets.from_numbers(spark.createDataFrame([(x,) for x in n], "n long"), "n")
+    numbers = lambda b: sorted(r["n"] for r in bitsets.to_numbers(b).collect())
+    first = lambda df: df.first()["n"]
+    s = of(0, 64, 64, None)
+    assert first(bitsets.next_set(s, 0)) == 0 and first(bitsets.next_set(s, 1)) == 64 and first(bitsets.next_set(s, 65)) is None
+    a, b = of(1, 63, 64, 1 << 40), of(63, 65, 1 << 40)
+    assert numbers(bitsets.both(a, b)) == [63, 1 << 40] and numbers(bitsets.without(a, b)) == [1, 64] and numbers(bitsets.either(a, b)) == [1, 63, 64, 65, 1 << 40]
+    assert first(bitsets.cardinality(a)) == 4 and first(bitsets.cardinality(of())) == 0
+    with pytest.raises(Exception, match="negative"):
+        numbers(of(-1))
+
+
+def test_string_sets():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 5))) for _ in range(60)]
+    dfa = au.string_set(words)
+    assert len(dfa.accepts) == len(au.Automaton(au.union(*map(au.literal, words))).minimal().accepts)
+    for _ in range(500):
+        s = "".join(rng.choice("abéx") for _ in range(rng.randint(0, 6)))
+        assert dfa.run(s) == (s in words)
+    assert not au.string_set([]).run("") and au.string_set([""]).run("")
+    for text in ("ab|c*d", "a(b&~c)x", "[a-c]{2}z"):
+        e = au.parse(text)
+        both = au.Automaton(e), au.Automaton(au.reverse(e))
+        for _ in range(200):
+            s = "".join(rng.choice("abcdxz") for _ in range(rng.randint(0, 4)))
+            assert both[0].run(s) == both[1].run(s[::-1])
+
+
 def test_field_options_merge():
     a = FieldOptions(options=POSITIONS)
     assert a.merge(KEYWORD).omit_norms and a.merge(KEYWORD).options == DOCS
@@ -172,14 +226,61 @@ def test_paging_and_search_after(spark):
 
 def test_batch_is_the_loop_of_single_queries(spark):
     index = build(frame(spark, texts()), {"text": TEXT})
-    queries = {"x": ["ape", "bee"], "y": ["cat"], "z": ["dog", "dog", "nosuch"]}
-    rows = spark.createDataFrame([(q, t) for q, ts in queries.items() for t in ts], "query_id string, term string")
+    queries = {"x": ["bee", "ape", "cat"], "y": ["cat"], "z": ["nosuch", "dog", "dog"], "w": "hen ape fox eel gnu bee dog".split()}
+    rows = spark.createDataFrame([(q, t, k) for q, ts in queries.items() for k, t in enumerate(ts)], "query_id string, term string, clause int")
     got = {}
     for r in se.search_batch(index, rows, "text", 5).collect():
         got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
     for q, ts in queries.items():
         want = ranked(se.search(index, should(*map(T, ts))), 5)
-        assert sorted(got[q], key=lambda x: (-x[1], x[0])) == [(d, pytest.approx(s, rel=1e-6)) for d, s in want]
+        assert sorted(got[q], key=lambda x: (-x[1], x[0])) == want
+
+
+class Flat(Similarity):
+    def tf(self, freq):
+        return F.lit(1.0).cast("float")
+
+
+def test_explanation_under_another_similarity(spark):
+    index = build(frame(spark, texts()), {"text": TEXT})
+    q = Boolean(clauses=((SHOULD, T("ape")), (SHOULD, T("bee", boost=2.0)), (MUST_NOT, T("cat"))))
+    sim = PerField({"text": Flat()})
+    got = ranked(se.search(index, q, sim))
+    for doc, score in got[:3]:
+        assert float(explain(index, q, doc, sim).value) == score
+    e = explain(index, T("ape"), ranked(se.search(index, T("ape")))[0][0])
+    shown = e.shown()
+    assert "(MATCH)" in shown and "docFreq=" in shown and "termFreq=" in shown and "maxDocs=62" in shown
+    assert "(NON_MATCH)" in explain(index, T("nosuch"), 0).shown()
+    batch = se.search_batch(index, spark.createDataFrame([("x", "ape"), ("x", "bee")], "query_id string, term string"), "text", 5, sim)
+    assert {(r["doc_id"], r["score"]) for r in batch.collect()} == set(ranked(se.search(index, should(T("ape"), T("bee")), sim), 5))
+
+
+def test_patterns_go_through_the_terms(spark, tmp_path):
+    d = frame(spark, texts())
+    s = Store(spark, str(tmp_path / "ix"), {"text": TEXT})
+    s.add(d)
+    s.commit()
+    a, b = build(d, {"text": TEXT}), s.index()
+    for text in ("c*", "d?g", "ape~1", "[cat TO eel]", "/(ape|gnu)/", "/a(~(.*x.*)&.+)/"):
+        q = Parser("text").parse(text)
+        assert ranked(se.search(a, q)) == ranked(se.search(b, q)) != []
+
+
+def test_queries_are_analysed_as_the_index_is(spark):
+    long = an.Analyzer(keep=lambda t: F.char_length(t) >= 4)
+    assert long.words("the big Apes eat figs") == ["apes", "figs"]
+    commas = an.Analyzer(raw=lambda c: F.split(c, ","), stop=())
+    assert commas.words("A b,c") == ["a b", "c"]
+
+
+def test_scores_are_numbers(spark):
+    hits = spark.createDataFrame([(1, float("nan"))], "doc_id long, score float")
+    with pytest.raises(Exception, match="no number"):
+        se.top(hits, 5).collect()
+    index = build(frame(spark, texts()), {"text": TEXT})
+    got = se.collect(index, T("ape"), lambda h: h.agg(F.avg("score").alias("mean"), F.count("*").alias("n"))).first()
+    assert got["n"] == len(ranked(se.search(index, T("ape"))))
 
 
 # parser
@@ -308,8 +409,88 @@ def test_stream_is_the_batch(spark, tmp_path):
     q = should(T("ape"), T("bee"))
     assert ranked(se.search(s.index(), q)) == ranked(se.search(build(d, {"text": TEXT}), q))
     before = s.state["generation"]
-    index_stream(stream(), s, str(tmp_path / "cp2"), upsert=False).awaitTermination()  # replayed batches aren't indexed again
+    index_stream(stream(), s, str(tmp_path / "cp"), upsert=False).awaitTermination()  # the stream goes on where it was
     assert s.state["generation"] == before
+    more = spark.createDataFrame([(1000, "ape again"), (1001, "bee again")], "doc_id long, text string")
+    more.coalesce(1).write.parquet(str(tmp_path / "more"))
+    other = spark.readStream.schema(d.schema).parquet(str(tmp_path / "more"))
+    index_stream(other, s, str(tmp_path / "cp2"), upsert=False).awaitTermination()  # another stream counts for itself
+    assert {x for x, _ in ranked(se.search(s.index(), q))} >= {1000, 1001}
+    assert s.index().docs.count() == d.count() + 2
+
+
+def test_replayed_batches_are_not_indexed_twice(spark, tmp_path):
+    import shutil
+
+    d = frame(spark, texts())
+    d.coalesce(1).write.parquet(str(tmp_path / "src"))
+    s = Store(spark, str(tmp_path / "ix"), {"text": TEXT})
+    run = lambda: index_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "src")), s, str(tmp_path / "cp"), upsert=False).awaitTermination()
+    run()
+    shutil.rmtree(tmp_path / "cp" / "commits")  # as if it had failed before it noted the batch
+    run()
+    assert s.index().docs.count() == d.count() and len(s.generations()) == 1
+
+
+def test_upserts_keep_the_last_row_and_rejects_are_kept(spark, tmp_path):
+    rows = [(1, "old ape", 1), (1, "new bee", 5), (1, "mid cat", 3), (2, "dog", 1), (None, "lost", 1), (3, "bad", -1)]
+    src = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    src.coalesce(1).write.parquet(str(tmp_path / "src"))
+    s = Store(spark, str(tmp_path / "ix"), {"text": TEXT})
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "src"))
+    index_stream(stream, s, str(tmp_path / "cp"), order=F.col("at"), valid=F.col("at") >= 0, rejects=str(tmp_path / "rejects")).awaitTermination()
+    assert {(r["doc_id"], r["text"]) for r in s.index().docs.collect()} == {(1, "new bee"), (2, "dog")}
+    assert {r["text"] for r in spark.read.parquet(str(tmp_path / "rejects")).collect()} == {"lost", "bad"}
+
+
+def test_tiers_choose_like_sizes():
+    t = Tiers(per_tier=3, at_once=3, most=1000, floor=1)
+    assert t.choose([(10, 0.0)] * 3) == [] and t.choose([]) == [] and t.choose([(10, 0.0)]) == []
+    uneven = t.choose([(90, 0.0)] + [(10, 0.0)] * 8)
+    assert len(uneven) == 3 and 0 not in uneven
+    assert 9 not in t.choose([(10, 0.0)] * 9 + [(600, 0.0)]) != []  # too large to merge
+    assert 1 in Tiers(per_tier=3, at_once=3, most=1000, floor=10).choose([(10, 0.0), (10, 0.9)] + [(10, 0.0)] * 7)
+
+
+def test_merging_analyses_no_text_again(spark, tmp_path, monkeypatch):
+    from textloom.operators import index as module
+
+    s = Store(spark, str(tmp_path / "ix"), {"text": TEXT}, tiers=Tiers(per_tier=1, at_once=2, floor=1 << 20))
+    built, real = [], module.build
+    monkeypatch.setattr(module, "build", lambda *a, **k: built.append(1) or real(*a, **k))
+    d = texts()
+    for k in range(5):
+        s.add(frame(spark, d).where(F.col("doc_id") % 5 == k))
+        if k == 2:
+            s.delete_by_term("text", "cat")
+        s.compact()
+    assert len(built) == 5 and len(s.state["segments"]) < 5
+    s.compact(force=True)
+    s.commit()
+    assert len(built) == 5 and len(s.state["segments"]) == 1 and not s.state["deletes"]
+    gone = {i for i, t in enumerate(d) if i % 5 <= 2 and t and "cat" in t.split()}
+    want = build(frame(spark, d).where(~F.col("doc_id").isin(*gone)), {"text": TEXT})
+    q = should(T("ape"), T("bee"))
+    assert ranked(se.search(s.index(), q)) == ranked(se.search(want, q))
+    assert all(r["bad"] == 0 for r in check(s.index()).collect())
+
+
+def test_lock(spark, tmp_path, monkeypatch):
+    from textloom.sources import store as module
+
+    s = Store(spark, str(tmp_path / "ix"), {"text": TEXT})
+    s.add(frame(spark, ["ape"]))
+    with s._lock(), pytest.raises(Conflict):
+        s.commit()
+    assert s.commit() == 1 and not (tmp_path / "ix" / "write.lock").exists()
+    (tmp_path / "ix" / "write.lock").touch()
+    s.add(spark.createDataFrame([(7, "bee")], "doc_id long, text string"))
+    with pytest.raises(Conflict):
+        s.commit()
+    monkeypatch.setattr(module, "STALE", 0)
+    assert s.commit() == 2
+    again = Store(spark, str(tmp_path / "ix"), {"text": FieldOptions(options=DOCS), "more": KEYWORD})
+    assert again.fields["text"].options == DOCS and set(again.fields) == {"text", "more"}
 
 
 def test_empty_tables(spark):

@@ -5,7 +5,7 @@ import pytest
 from textloom.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["tokenize_lower", "token_offsets", "postings_positions", "field_length_norm", "index_time_boost", "golden_query", "bool_mixed", "bool_nested", "phrase_query", "fuzzy_query", "multi_field_search", "multi_valued_field", "batch_search", "delete_by_term", "merge_compaction", "check_index", "regexp_nested_complement", "rolling_hash", "bit_scalars"]
+SOME = ["tokenize_lower", "token_offsets", "postings_positions", "field_length_norm", "index_time_boost", "golden_query", "bool_mixed", "bool_nested", "phrase_query", "fuzzy_query", "multi_field_search", "multi_valued_field", "batch_search", "delete_by_term", "merge_compaction", "merge_tiered", "streaming_upsert", "murmur3_x86_32", "long_token_skip", "segment_names", "packed_sizes", "versions", "utf16_validity", "bit_sets", "bit_set_walk", "string_set", "check_index", "regexp_nested_complement", "rolling_hash", "bit_scalars"]
 
 
 @pytest.fixture(scope="module")

@@ -91,7 +91,9 @@ class Analyzer:
         return once(F.filter(out, good))
 
     def words(self, text: str) -> list[str]:
-        """Terms of one text, on the driver: for queries. By the same tokenizer for the scripts that both know."""
+        """Terms of one text, on the driver: for queries. By the same tokenizer for the scripts that both know; where the analyzer has a column function of its own, by that."""
+        if self.keep or self.raw not in (raw_tokens, whole, blanks):
+            return words_of(self, text)
         import regex
 
         pattern = TOKEN
@@ -101,12 +103,21 @@ class Analyzer:
             found = [t for t in regex.findall(f"(?V1){pattern}", text) if regex.search(r"[\p{L}\p{N}]", t)]
         elif self.raw is whole:
             found = [text] if text else []
-        else:
+        elif self.raw is blanks:
             found = [t for t in regex.split("[ \t\r\n]+", text) if t]
         found = [t.lower() if self.lower else t for t in found]
         return [t for t in found if (not self.max_length or len(t) <= self.max_length) and t not in self.stop]
 
 
+def words_of(analyzer: Analyzer, text: str) -> list[str]:
+    """Terms of a text by the analyzer's own expressions, so that queries and indexes can't differ; one row, which the driver evaluates itself."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    row = spark.range(1).select(analyzer.tokens(F.lit(text)).alias("t"))
+    return [t["term"] for t in row.first()["t"]]
+
+
 def whole(value: Column) -> Column:
     """The value as one token, for fields that aren't tokenized; empty values have none."""
     return F.filter(F.array(value.cast("string")), lambda t: t.isNotNull() & (t != ""))

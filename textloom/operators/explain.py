@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.plans.query import MUST, MUST_NOT, Boolean, Query, Term
-from textloom.plans.similarity import Similarity, f32
+from textloom.plans.similarity import Similarity, f32, of_field
 
 from .index import Index
 from .search import Weighted, _leaf, weigh
@@ -28,6 +28,11 @@ class Explanation:
     def __str__(self, depth: int = 0):
         return "  " * depth + f"{self.value} = {self.description}\n" + "".join(d.__str__(depth + 1) for d in self.details)
 
+    def shown(self, depth: int = 0) -> str:
+        """Like str, each line with whether it matches."""
+        mark = "MATCH" if self.match else "NON_MATCH"
+        return "  " * depth + f"{self.value} = ({mark}) {self.description}\n" + "".join(d.shown(depth + 1) for d in self.details)
+
     def rows(self, path: str = "0") -> list[tuple[str, float, str]]:
         out = [(path, float(self.value), self.description)]
         for k, d in enumerate(self.details):
@@ -35,21 +40,24 @@ class Explanation:
         return out
 
 
+def _idf(w: Weighted) -> Explanation:
+    return Explanation(w.idf, f"idf(docFreq={w.doc_freq}, maxDocs={w.max_doc})")
+
+
 def _term(w: Weighted, norm: np.float32, row) -> Explanation:
     q = w.query
     if row is None:
         return Explanation(f32(0), "no matching term", match=False)
-    tf = f32(np.sqrt(np.float64(row["freq"])))
-    parts = [Explanation(tf, f"tf(freq={row['freq']})"), Explanation(w.idf, "idf")]
+    tf = f32(row["tf"])
+    parts = [Explanation(tf, f"tf(freq={float(row['freq'])}), with freq of:", [Explanation(f32(row["freq"]), f"termFreq={float(row['freq'])}")]), _idf(w)]
     value = f32(tf * w.idf)
     if row["norm"] is not None:
         parts.append(Explanation(f32(row["norm"]), "fieldNorm"))
         value = f32(value * f32(row["norm"]))
     part = Explanation(value, "fieldWeight, product of:", parts)
     own = [Explanation(f32(q.boost), "boost")] if q.boost != 1 else []
-    weight = Explanation(w.weight, "queryWeight, product of:", [*own, Explanation(w.idf, "idf"), Explanation(norm, "queryNorm")])
-    raw = f32(tf * w.value)
-    score = f32(raw * f32(row["norm"])) if row["norm"] is not None else raw
+    weight = Explanation(w.weight, "queryWeight, product of:", [*own, _idf(w), Explanation(norm, "queryNorm")])
+    score = f32(row["score"])
     details = [part] if w.weight == 1 else [weight, part]
     return Explanation(score, f"weight({q}), product of:", details)
 
@@ -57,24 +65,34 @@ def _term(w: Weighted, norm: np.float32, row) -> Explanation:
 def explain(index: Index, query: Query, doc_id: int, similarity: Similarity | None = None) -> Explanation:
     """Why a document scores as it does; its value is the score of ``search``. One job fetches the document's postings of the queried terms."""
     w, norm = weigh(index, query, similarity)
-    terms = set()
+    sim = similarity or Similarity()
+    leaves: list[Weighted] = []
 
     def gather(x):
         if isinstance(x.query, Term):
-            terms.add((x.query.field, x.query.term))
+            leaves.append(x)
         for _, c in x.clauses:
             gather(c)
 
     gather(w)
-    rows = index.postings.where((F.col("doc_id") == doc_id) & F.col("term").isin(*[t for _, t in terms])).select("field", "term", "freq", "norm").collect() if terms else []
-    found = {(r["field"], r["term"]): r for r in rows}
+    # one job: each clause with its tf and score as the search's own plan has them, whatever the similarity
+    own = index.postings.where(F.col("doc_id") == doc_id)
+    found: dict[int, object] = {}
+    if leaves:
+        rows = None
+        for k, x in enumerate(leaves):
+            s = of_field(sim, x.query.field)
+            part = own.where((F.col("field") == x.query.field) & (F.col("term") == x.query.term))
+            part = part.select(F.lit(k).alias("k"), "freq", "norm", s.tf(F.col("freq")).alias("tf"), s.score(F.col("freq"), F.col("norm"), F.lit(float(x.value)).cast("float")).alias("score"))
+            rows = part if rows is None else rows.unionByName(part)
+        found = {id(leaves[r["k"]]): r for r in rows.collect()}  # a row for each clause at most
 
     def made(x: Weighted) -> Explanation:
         q = x.query
         if isinstance(q, Term):
-            return _term(x, norm, found.get((q.field, q.term)))
+            return _term(x, norm, found.get(id(x)))
         if not isinstance(q, Boolean):
-            got = _leaf(index, x, similarity or Similarity()).where(F.col("doc_id") == doc_id).first()
+            got = _leaf(index, x, sim).where(F.col("doc_id") == doc_id).first()
             return Explanation(f32(got["score"]), str(q)) if got else Explanation(f32(0), f"no match on {q}", match=False)
         total, overlap, parts, most = 0.0, 0, [], sum(o != MUST_NOT for o, _ in x.clauses)
         for o, c in x.clauses:

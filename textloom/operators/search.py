@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,8 @@ class Weighted:
     weight: np.float32 = f32(1)
     value: np.float32 = f32(1)
     clauses: tuple = ()
+    doc_freq: int = 0
+    max_doc: int = 0
 
 
 def _terms(q: Query) -> set[tuple[str, str]]:
@@ -57,7 +61,8 @@ def _squares(q: Query, df: dict, max_doc: int, sim: Similarity) -> tuple[Weighte
     else:
         idf = f32(1)
     weight = f32(idf * boost)
-    return Weighted(q, idf=idf, weight=weight), f32(weight * weight)
+    found = (df.get((q.field, q.term), 0) if q.doc_freq is None else q.doc_freq) if isinstance(q, Term) else 0
+    return Weighted(q, idf=idf, weight=weight, doc_freq=found, max_doc=max_doc), f32(weight * weight)
 
 
 def _normalise(w: Weighted, norm: np.float32, top: np.float32) -> None:
@@ -76,7 +81,9 @@ def weigh(index: Index, query: Query, similarity: Similarity | None = None) -> t
     terms = sorted(_terms(query))
     df = {}
     if terms:
-        pairs = F.struct("field", "term").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in terms]) if len({a for a, _ in terms}) > 1 else (F.col("field") == terms[0][0]) & F.col("term").isin(*[b for _, b in terms])
+        # a condition on each field that Parquet can skip row groups by
+        fields = sorted({a for a, _ in terms})
+        pairs = reduce(Column.__or__, [(F.col("field") == a) & F.col("term").isin(*[b for x, b in terms if x == a]) for a in fields])
         stats = index.stats if index.stats is not None else index.postings
         rows = stats.where(pairs)
         rows = rows.groupBy("field", "term").agg((F.sum("doc_freq") if index.stats is not None else F.count("*")).alias("n"))
@@ -101,7 +108,11 @@ def _leaf(index: Index, w: Weighted, sim: Similarity) -> DataFrame:
     if isinstance(q, MatchAll):
         return index.docs.select("doc_id", _f(w.value).alias("score"))
     if isinstance(q, Pattern):
-        rows = own.where((F.col("field") == q.field) & term_filter(q))
+        rows = own.where(F.col("field") == q.field)
+        if index.stats is None:
+            rows = rows.where(term_filter(q))
+        else:  # the pattern is tried on each term once, not on each of its postings
+            rows = rows.join(index.stats.where((F.col("field") == q.field) & term_filter(q)).select("term"), "term", "left_semi")
         return rows.select("doc_id").distinct().select("doc_id", _f(w.value).alias("score"))
     if isinstance(q, Phrase):
         rows = own.where((F.col("field") == q.field) & F.col("term").isin(*q.terms)).where("positions is not null")
@@ -222,7 +233,14 @@ def top(hits: DataFrame, k: int, after: tuple[float, int] | None = None) -> Data
     if after is not None:
         s, d = F.lit(after[0]).cast("float"), after[1]
         hits = hits.where((F.col("score") < s) | ((F.col("score") == s) & (F.col("doc_id") > d)))
-    return hits.orderBy(F.desc("score"), "doc_id").limit(max(1, k))
+    broken = F.isnan("score") | (F.col("score") == float("-inf"))
+    score = F.when(broken, F.raise_error(F.lit("a score is no number")).cast("float")).otherwise(F.col("score"))
+    return hits.withColumn("score", score).orderBy(F.desc("score"), "doc_id").limit(max(1, k))
+
+
+def collect(index: Index, query: Query, collector: Callable[[DataFrame], DataFrame], similarity: Similarity | None = None, where: Column | None = None) -> DataFrame:
+    """What a collector makes of all hits ``(doc_id, score)``: any aggregation, in the same job as the search. ``top``, ``page`` and ``total_hits`` are collectors."""
+    return collector(search(index, query, similarity, where))
 
 
 def page(hits: DataFrame, start: int, count: int) -> DataFrame:
@@ -244,22 +262,27 @@ def total_hits(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count("*").alias("total_hits"), F.max("score").alias("max_score"))
 
 
-def search_batch(index: Index, queries: DataFrame, field: str, k: int) -> DataFrame:
-    """``(query_id, doc_id, score)``: the k best hits of many OR queries of one field in one job.
+def search_batch(index: Index, queries: DataFrame, field: str, k: int, similarity: Similarity | None = None) -> DataFrame:
+    """``(query_id, doc_id, score)``: the k best hits of many OR queries of one field in one job, scored as each query alone.
 
-    queries: (query_id, term), a row for each clause. Queries with terms that few share are joined with their statistics, then with the postings; the aggregation is by query and document.
+    queries: (query_id, term[, clause]), a row for each clause; clauses are in order of clause, if that column is there, else of term. The queries' terms are joined with their statistics, then with the postings; the aggregation is by query and document.
     """
+    sim = of_field(similarity or Similarity(), field)
     postings = index.postings.where(F.col("field") == field)
-    clauses = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    df = postings.join(clauses.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")) if index.stats is None else index.stats.where(F.col("field") == field).select("term", F.col("doc_freq").alias("df"))
-    idf = (F.ln(F.lit(float(index.size())) / (F.coalesce("df", F.lit(0)) + 1)).cast("float") + F.lit(1.0).cast("float")).cast("float")
-    c = clauses.join(df, "term", "left").withColumn("idf", idf)
-    own = Window.partitionBy("query_id")
-    squares = F.sum((F.col("idf") * F.col("idf")).cast("double") * F.col("times")).over(own).cast("float")
-    c = c.withColumn("qn", (F.lit(1.0) / F.sqrt(squares.cast("double"))).cast("float")).withColumn("most", F.sum("times").over(own))
+    place = F.col("clause") if "clause" in queries.columns else F.col("term")
+    given = queries.select("query_id", "term", place.alias("place"))
+    df = postings.join(given.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")) if index.stats is None else index.stats.where(F.col("field") == field).select("term", F.col("doc_freq").alias("df"))
+    c = given.join(df, "term", "left").withColumn("idf", sim.idf_column(F.coalesce("df", F.lit(0)), index.size()))
+    zero = F.lit(0.0).cast("float")
+    # squares add up in single precision, clause by clause; the clauses of a query are few
+    squares = F.aggregate(F.sort_array(F.collect_list(F.struct("place", "term", "idf"))), zero, lambda s, x: (s + (x["idf"] * x["idf"]).cast("float")).cast("float"))
+    norms = c.groupBy("query_id").agg(squares.alias("squares"), F.count("*").alias("most"))
+    norm = (F.lit(1.0) / F.sqrt(F.col("squares").cast("double"))).cast("float")
+    norms = norms.select(F.col("query_id").alias("q"), F.when(F.col("squares") > 0, norm).otherwise(F.lit(1.0).cast("float")).alias("qn"), "most")
+    c = c.groupBy("query_id", "term").agg(F.count("*").alias("times"), F.max("idf").alias("idf")).join(norms, F.col("query_id").eqNullSafe(F.col("q")))
     c = c.withColumn("value", ((F.col("idf") * F.col("qn")).cast("float") * F.col("idf")).cast("float"))
     rows = postings.join(c.select("query_id", "term", "times", "most", "value"), "term")
-    s = Similarity().score(F.col("freq"), F.col("norm"), F.col("value"))
+    s = sim.score(F.col("freq"), F.col("norm"), F.col("value"))
     got = rows.groupBy("query_id", "doc_id").agg(F.sum(s.cast("double") * F.col("times")).alias("s"), F.sum("times").alias("overlap"), F.first("most").alias("most"))
     coord = F.when(F.col("most") > 1, (F.col("overlap").cast("float") / F.col("most").cast("float")).cast("float")).otherwise(F.lit(1.0).cast("float"))
     got = got.select("query_id", "doc_id", (F.col("s") * coord.cast("double")).cast("float").alias("score"))

@@ -16,6 +16,12 @@ class Similarity:
         """max_doc counts all documents, those without the field and deleted ones too."""
         return f32(f32(np.log(max_doc / (doc_freq + 1))) + f32(1)) if max_doc > 0 else f32(1)
 
+    def idf_column(self, doc_freq: Column, max_doc: int) -> Column:
+        """``idf`` for a column of document frequencies; a subclass that changes one changes both."""
+        if max_doc <= 0:
+            return F.lit(1.0).cast("float")
+        return (F.ln(F.lit(float(max_doc)) / (doc_freq + 1)).cast("float") + F.lit(1.0).cast("float")).cast("float")
+
     def query_norm(self, squares: np.float32) -> np.float32:
         with np.errstate(divide="ignore", invalid="ignore"):
             norm = f32(1 / np.sqrt(np.float64(squares)))

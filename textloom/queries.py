@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import analysis as an
-from textloom.functions import norms, scalars
-from textloom.functions.automata import matcher
+from textloom.functions import bitsets, norms, scalars
+from textloom.functions.automata import matcher, running
+from textloom.functions.automata import string_set as string_automaton
 from textloom.operators import index as ix
 from textloom.operators import search as se
 from textloom.operators.explain import explain, explain_all
@@ -19,7 +20,7 @@ from textloom.plans.config import DOCS, KEYWORD, TEXT, FieldOptions
 from textloom.plans.parser import Parser
 from textloom.plans.query import MUST, MUST_NOT, SHOULD, Boolean, MatchAll, Pattern, Phrase, Query, Term, must, should
 from textloom.plans.similarity import PerField, Similarity
-from textloom.sources.store import Store
+from textloom.sources.store import Store, Tiers
 from textloom.streaming.indexer import index_stream
 
 QUERIES: dict = {}
@@ -106,9 +107,13 @@ def keyword_field(spark, sf_dir):
     return index.term_stats().select("term", "doc_freq")
 
 
-@add("long_token_skip", "select doc_id, cast(0 as integer) as pos, 'ab' as term from documents union all select doc_id, 2, 'cd' from documents")
+_LONG = "(select doc_id, coalesce(text, '') || ' ' || repeat('x', 256) || ' cd ' || coalesce(text, '') as text from documents)"
+
+
+@add("long_token_skip", f"with {o.tokens(_LONG)} select doc_id, pos, term from k")
 def long_token_skip(spark, sf_dir):
-    docs = table(spark, sf_dir).select("doc_id", F.concat(F.lit("ab "), F.repeat(F.lit("x"), 256), F.lit(" cd")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir).select("doc_id", F.concat(text, F.lit(" "), F.repeat(F.lit("x"), 256), F.lit(" cd "), text).alias("text"))
     return docs.select("doc_id", F.explode(an.STANDARD.tokens(F.col("text"))).alias("t")).select("doc_id", "t.pos", "t.term")
 
 
@@ -412,6 +417,19 @@ def merge_compaction(spark, sf_dir):
     return s.index().term_stats().select("term", "doc_freq")
 
 
+@add("merge_tiered", f"with kept as (select * from documents where lang <> 'de'), {o.inverted('kept')} select p.term, p.doc_id, p.freq, array_to_string(p.positions, ',') as positions, n.norm from post p join norms n using (doc_id)")
+def merge_tiered(spark, sf_dir):
+    s = store(spark, "tiers", tiers=Tiers(per_tier=2, at_once=2, floor=1))
+    docs = table(spark, sf_dir)
+    for k in range(5):
+        s.add(docs.where(F.pmod("doc_id", F.lit(5)) == k))
+        s.compact()
+    s.delete_ids(docs.where("lang = 'de'").select("doc_id"))
+    s.compact()
+    s.commit()
+    return s.index().postings.select("term", "doc_id", "freq", F.array_join("positions", ",").alias("positions"), "norm")
+
+
 @add("commit_history", "select cast(1 as bigint) as generation, cast(1 as integer) as segments, (select count(*) from documents) as docs, cast(0 as integer) as deletes union all select 2, 1, (select count(*) from documents), 1")
 def commit_history(spark, sf_dir):
     s = loaded(spark, sf_dir, "history")
@@ -446,6 +464,21 @@ def streaming_incremental(spark, sf_dir):
     return se.top(se.search(s.index(), GOLDEN), 10)
 
 
+@add("streaming_upsert", "select case when lang = 'fr' then 'neuf' else 'old' end as state, count(*) as docs from documents group by 1")
+def streaming_upsert(spark, sf_dir):
+    """Two streams into one store: all documents, then three versions of the French ones, of which the last one counts."""
+    s = store(spark, "upsert")
+    docs = table(spark, sf_dir).withColumn("version", F.lit(0))
+    old, new = shared(spark, "upsert-old"), shared(spark, "upsert-new")
+    docs.write.parquet(old)
+    texts = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(x).alias("text")) for v, x in ((1, "un"), (3, "neuf"), (2, "deux"))]))
+    docs.where("lang = 'fr'").drop("text", "version").withColumn("v", texts).select("*", "v.*").drop("v").select(*docs.columns).write.parquet(new)
+    for k, src in enumerate((old, new)):
+        stream = spark.readStream.schema(docs.schema).parquet(src)
+        index_stream(stream, s, shared(spark, f"upsert-checkpoint{k}"), order=F.col("version")).awaitTermination()
+    return s.index().docs.groupBy(F.when(F.col("text") == "neuf", "neuf").otherwise("old").alias("state")).agg(F.count("*").alias("docs"))
+
+
 # regular languages and scalars
 
 
@@ -464,16 +497,96 @@ def regexp_nested_complement(spark, sf_dir):
     return documents(spark, sf_dir).postings.where(matcher("hash(~(.*er)&.+)")(F.col("term"))).select("term").distinct()
 
 
-@add("murmur3_x86_32")
+_M = 4294967295
+
+
+def _byte(i: str) -> str:
+    """Byte i of the string whose upper-case hex digits are x."""
+    return f"cast((instr('0123456789ABCDEF', substr(x, cast(2 * ({i}) + 1 as bigint), 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, cast(2 * ({i}) + 2 as bigint), 1)) - 1 as ubigint)"
+
+
+def _rotated(x: str, by: int) -> str:
+    return f"((({x}) << {by}) | (({x}) >> {32 - by})) & {_M}"
+
+
+def _murmur(table: str, key: str, column: str, seed: int) -> str:
+    mixed = f"lambda r: (({_rotated('r', 15)}) * 461845907) & {_M}"
+    block = " + ".join(f"{_byte(f'4 * i + {j}')} * {256**j}" for j in range(4))
+    tail = " + ".join(f"case when n % 4 > {j} then {_byte(f'n // 4 * 4 + {j}')} * {256**j} else 0 end" for j in range(3))
+    step = _rotated("xor(h, k)", 13)
+    return (
+        f"with s as (select {key}, hex({column}) as x, cast(length(hex({column})) // 2 as bigint) as n from {table}), "
+        f"b as (select *, list_transform(list_transform(range(n // 4), lambda i: (({block}) * 3432918353) & {_M}), {mixed}) as blocks, (({tail}) * 3432918353) & {_M} as t from s), "
+        f"r as (select {key}, n, list_reduce(list_prepend(cast({seed} as ubigint), blocks), lambda h, k: ((({step}) * 5) + 3864292196) & {_M}) as h, (({_rotated('t', 15)}) * 461845907) & {_M} as t from b), "
+        f"f as (select {key}, xor(xor(h, cast(t as ubigint)), cast(n as ubigint)) as h from r), g as (select {key}, (xor(h, h >> 16) * 2246822507) & {_M} as h from f), i as (select {key}, (xor(h, h >> 13) * 3266489909) & {_M} as h from g) "
+        f"select {key}, cast(xor(h, h >> 16) as bigint) as hash from i"
+    )
+
+
+@add("murmur3_x86_32", _murmur("part", "p_partkey", "p_name", 42))
 def murmur3_x86_32(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.murmur3(F.col("p_name"), 42).alias("hash"))
 
 
-@add("rolling_hash", "select p_partkey, list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(p_name, ''), lambda c: cast(unicode(c) as bigint))), lambda h, c: (h * 31 + c) % 2147483647) as hash from part")
+@add("rolling_hash", f"select p_partkey, cast(list_reduce(list_prepend(cast(0 as ubigint), list_transform(range(cast(length(x) // 2 as bigint)), lambda i: {_byte('i')})), lambda h, c: (h * 16777619 + c) & {_M}) as bigint) as hash from (select p_partkey, hex(p_name) as x from part)")
 def rolling_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.rolling_hash(F.col("p_name")).alias("hash"))
 
 
+@add("segment_names", "select p_partkey, '_' || lower(to_base(p_partkey, 36)) as segment, '_' || lower(to_base(p_partkey, 36)) || '_' || lower(to_base(p_size, 36)) || '.liv' as file, '_' || lower(to_base(p_size, 36)) || '.liv' as rest, cast(p_size as bigint) as generation from part where p_size > 0")
+def segment_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").where("p_size > 0")
+    name = scalars.segment_file(F.concat(F.lit("_"), scalars.base36(F.col("p_partkey"))), F.lit(""), F.lit(""))
+    rows = rows.select("p_partkey", scalars.generation_name(name, F.lit("liv"), F.col("p_size").cast("long")).alias("file"))
+    f = F.col("file")
+    return rows.select("p_partkey", scalars.segment_name(f).alias("segment"), f, scalars.strip_segment_name(f).alias("rest"), scalars.file_generation(f).alias("generation"))
+
+
+@add("packed_sizes", "select o_orderkey, cast(ceil(o_orderkey * b / 8.0) as bigint) as packed, cast(8 * ceil(o_orderkey / cast(64 // b as double)) as bigint) as blocks, cast((cast(1 as hugeint) << b) - 1 as bigint) as most from (select o_orderkey, o_custkey % 63 + 1 as b from orders)")
+def packed_sizes(spark, sf_dir):
+    k, b = F.col("o_orderkey"), (F.col("o_custkey") % 63 + 1).cast("int")
+    return table(spark, sf_dir, "orders").select(k, scalars.packed_bytes(k, b).alias("packed"), scalars.packed_bytes(k, b, True).alias("blocks"), scalars.max_value(b).alias("most"))
+
+
+@add("versions", "select l_orderkey, l_linenumber, (a1, a2, a3) >= (4, 10, 1) as later from (select l_orderkey, l_linenumber, l_linenumber as a1, l_suppkey % 20 as a2, cast(l_quantity as bigint) % 5 as a3 from lineitem)")
+def versions(spark, sf_dir):
+    text = F.concat_ws(".", F.col("l_linenumber").cast("string"), (F.col("l_suppkey") % 20).cast("string"), (F.col("l_quantity").cast("long") % 5).cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.on_or_after(text, F.lit("4.10.1")).alias("later"))
+
+
+@add("utf16_validity", "select o_orderkey, case o_custkey % 4 when 0 then true when 1 then false when 2 then false else true end as valid from orders")
+def utf16_validity(spark, sf_dir):
+    high, low, plain = (x.cast("int") for x in (0xD800 + F.col("o_orderkey") % 1024, 0xDC00 + F.col("o_orderkey") % 1024, 65 + F.col("o_orderkey") % 26))
+    units = F.when(F.col("o_custkey") % 4 == 0, F.array(plain, high, low, plain)).when(F.col("o_custkey") % 4 == 1, F.array(plain, high, plain)).when(F.col("o_custkey") % 4 == 2, F.array(low, plain)).otherwise(F.array(plain))
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.valid_utf16(units).alias("valid"))
+
+
+def _orders_with(spark, sf_dir, condition):
+    return bitsets.from_numbers(table(spark, sf_dir, "orders").where(condition), "o_orderkey")
+
+
+_SETS = "a as (select distinct o_orderkey as n from orders where o_totalprice > 100000), b as (select distinct o_orderkey as n from orders where o_orderstatus = 'F')"
+
+
+@add("bit_sets", f"with {_SETS} select 'and' as op, n from a where n in (select n from b) union all select 'and_not', n from a where n not in (select n from b) union all select 'or', n from (select n from a union select n from b)")
+def bit_sets(spark, sf_dir):
+    a, b = _orders_with(spark, sf_dir, "o_totalprice > 100000"), _orders_with(spark, sf_dir, "o_orderstatus = 'F'")
+    parts = [bitsets.to_numbers(f(a, b)).select(F.lit(op).alias("op"), "n") for op, f in (("and", bitsets.both), ("and_not", bitsets.without), ("or", bitsets.either))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@add("bit_set_walk", f"with {_SETS} select (select count(*) from a) as ones, (select min(n) from a where n >= 1000) as next")
+def bit_set_walk(spark, sf_dir):
+    a = _orders_with(spark, sf_dir, "o_totalprice > 100000")
+    return bitsets.cardinality(a).withColumnRenamed("n", "ones").crossJoin(bitsets.next_set(a, 1000).withColumnRenamed("n", "next"))
+
+
+@add("string_set", f"with {o.inverted()} select distinct term from post where term in ('hash', 'ingre', 'und', 'er', 'ble', 'nosuch')")
+def string_set(spark, sf_dir):
+    dfa = string_automaton(["hash", "ingre", "und", "er", "ble", "nosuch"])
+    return documents(spark, sf_dir).term_stats().where(running(dfa)(F.col("term"))).select("term")
+
+
 _D36 = "'0123456789abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -489,11 +602,10 @@ def zigzag(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", coded.alias("coded"), scalars.unzigzag(coded).alias("plain"))
 
 
-@add("bit_scalars", "select o_orderkey, cast(greatest(1, length(bin(o_orderkey))) as integer) as bits, cast(bit_count(o_orderkey) as integer) as ones, cast(length(cast(o_orderkey as varchar)) - 1 as integer) as log10, gcd(o_orderkey, o_custkey) as gcd from orders where o_orderkey > 0")
+@add("bit_scalars", "select o_orderkey, cast(greatest(1, length(bin(o_orderkey))) as integer) as bits, cast(bit_count(o_orderkey) as integer) as ones, cast(length(cast(o_orderkey as varchar)) - 1 as integer) as log10, gcd(o_orderkey, o_custkey) as gcd, cast(case when o_orderkey = 0 then 64 else bit_count((o_orderkey & -o_orderkey) - 1) end as integer) as zeros from orders")
 def bit_scalars(spark, sf_dir):
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey > 0")
-    return rows.select(k, scalars.bits_required(k).alias("bits"), F.bit_count(k).cast("int").alias("ones"), scalars.integer_log(k, 10).cast("int").alias("log10"), scalars.gcd(k, F.col("o_custkey")).alias("gcd"))
+    return table(spark, sf_dir, "orders").select(k, scalars.bits_required(k).alias("bits"), F.bit_count(k).cast("int").alias("ones"), scalars.integer_log(k, 10).cast("int").alias("log10"), scalars.gcd(k, F.col("o_custkey")).alias("gcd"), scalars.trailing_zeros(k).alias("zeros"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,20 @@
 """An index on disk: segments of Parquet, published in numbered generations.
 
-A segment is written whole before anything refers to it. A commit is one small manifest, renamed into place: a reader sees a generation entirely or not
+A segment is written whole before anything refers to it. A commit is one small manifest, renamed into place under a lock: a reader sees a generation entirely or not
 at all, and keeps it for as long as it is retained. A delete is a tombstone that affects segments older than itself.
+Segments of a like size merge when there are too many; a merge joins their sorted postings and drops deleted documents, and analyses no text again.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import math
+import time
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +23,7 @@ from textloom.functions.analysis import STANDARD, Analyzer
 from textloom.operators import index as ix
 from textloom.operators.index import Index
 from textloom.operators.search import search
-from textloom.plans.config import FieldOptions
+from textloom.plans.config import FieldOptions, IndexConfig
 from textloom.plans.query import Query
 
 FORMAT = 1
@@ -26,8 +32,54 @@ SCHEMAS = {
     "norms": "doc_id long, length int, norm_byte int, norm float, field string",
     "stats": "term string, doc_freq long, total_term_freq long, field string",
 }
-#: Segments of one generation beyond which compaction is due.
-MERGE_AT = 10
+#: Seconds after which the lock of a writer that didn't come to an end is taken over.
+STALE = 600
+#: How often the latest generation is looked up again, when another writer removes it meanwhile.
+RETRIES = 5
+
+
+@dataclass(frozen=True)
+class Tiers:
+    """When segments merge: each tier may have ``per_tier`` segments, ``at_once`` times as large as those of the tier below; merged segments have ``most`` bytes at most, and smaller ones than ``floor`` count as that."""
+
+    per_tier: int = 10
+    at_once: int = 10
+    most: int = 5 << 30
+    floor: int = 2 << 20
+    reclaim: float = 2.0
+
+    def choose(self, sizes: list[tuple[int, float]]) -> list[int]:
+        """Places of the segments that should merge, from (bytes, part of its documents that are deleted) of each; none if there are few enough.
+
+        Bytes count without the deleted part. Of the runs of neighbours in size, the one is chosen that is most even, small and full of deleted documents.
+        """
+        own = [int(b * (1 - d)) for b, d in sizes]
+        order = sorted((k for k in range(len(own)) if own[k] < self.most / 2), key=lambda k: (-own[k], k))
+        if len(order) < 2:
+            return []
+        left, level, allowed = sum(own[k] for k in order), max(self.floor, min(own[k] for k in order)), 0
+        while left / level >= self.per_tier:
+            allowed += self.per_tier
+            left -= self.per_tier * level
+            level *= self.at_once
+        allowed += math.ceil(left / level)
+        if len(order) <= allowed:
+            return []
+        best: tuple = ()
+        for start in range(len(order) - 1):
+            run: list[int] = []
+            for k in order[start:]:
+                if len(run) < self.at_once and sum(own[x] for x in run) + own[k] <= self.most:
+                    run.append(k)
+            if len(run) < 2:
+                continue
+            after = sum(max(own[k], self.floor) for k in run)
+            before = sum(max(sizes[k][0], 1) for k in run)
+            skew = max(own[run[0]], self.floor) / after
+            score = skew * after**0.05 * (sum(own[k] for k in run) / before) ** self.reclaim
+            if not best or score < best[0]:
+                best = (score, run)
+        return sorted(best[1]) if best else []
 
 
 class Conflict(RuntimeError):
@@ -35,13 +87,21 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, fields: dict[str, FieldOptions], analyzer: Analyzer = STANDARD, doc_id: str = "doc_id", mode: str = "create_or_append"):
-        """mode: create starts from nothing, append needs an index, create_or_append takes either."""
-        self.spark, self.path, self.fields, self.analyzer, self.doc_id = spark, path.rstrip("/"), fields, analyzer, doc_id
-        last = self.generations()
-        if mode == "append" and not last:
+    def __init__(self, spark: SparkSession, path: str, fields: dict[str, FieldOptions], analyzer: Analyzer = STANDARD, doc_id: str = "doc_id", mode: str = "create_or_append", tiers: Tiers = Tiers()):  # noqa: B008
+        """mode: create starts from nothing, append needs an index, create_or_append takes either. Options of fields that the index has already merge with those given."""
+        self.spark, self.path, self.analyzer, self.doc_id, self.tiers = spark, path.rstrip("/"), analyzer, doc_id, tiers
+        latest = self._latest()
+        if mode == "append" and not latest:
             raise FileNotFoundError(f"no index in {path}")
-        self.state = self._read(last[-1]) if last and mode != "create" else {"format": FORMAT, "generation": last[-1] if last else 0, "segments": [], "deletes": [], "clock": 0, "user_data": {}}
+        new = {"format": FORMAT, "generation": latest["generation"] if latest else 0, "segments": [], "deletes": [], "clock": 0, "user_data": {}, "fields": {}}
+        self.state = latest if latest and mode != "create" else new
+        config = IndexConfig()
+        for name, options in self.state.get("fields", {}).items():
+            config.add(name, FieldOptions(**options))
+        for name, options in fields.items():
+            config.add(name, options)
+        self.fields = config.fields
+        self.state["fields"] = {name: asdict(options) for name, options in self.fields.items()}
         if mode == "create":
             self.state["segments"], self.state["deletes"] = [], []
         self._published = json.dumps(self.state)
@@ -62,6 +122,35 @@ class Store:
     def exists(self) -> bool:
         return bool(self.generations())
 
+    def _latest(self) -> dict | None:
+        """The latest generation; one that is removed between listing and reading is looked up again."""
+        for left in range(RETRIES, -1, -1):
+            last = self.generations()
+            if not last:
+                return None
+            try:
+                return self._read(last[-1])
+            except Exception as e:
+                if not left or "FileNotFound" not in f"{type(e).__name__} {e}":
+                    raise
+        return None
+
+    @contextlib.contextmanager
+    def _lock(self):
+        """Holds the index's lock; that of a writer which has been gone for STALE seconds is taken over."""
+        fs, p = self._fs(f"{self.path}/write.lock")
+        try:
+            fs.create(p, False).close()
+        except Exception as e:
+            if not fs.exists(p) or time.time() - fs.getFileStatus(p).getModificationTime() / 1000 < STALE:
+                raise Conflict("another writer has the lock") from e
+            fs.delete(p, False)
+            fs.create(p, False).close()
+        try:
+            yield
+        finally:
+            fs.delete(p, False)
+
     def _read(self, generation: int) -> dict:
         fs, p = self._fs(f"{self.path}/commits/{generation}.json")
         stream = fs.open(p)
@@ -83,15 +172,19 @@ class Store:
         base = f"{self.path}/segments/{uuid.uuid4().hex}"
         # read back, so that documents of a plan that isn't deterministic are indexed as they are stored
         docs.where(F.col(self.doc_id).isNotNull()).withColumn("doc_id", F.col(self.doc_id).cast("long")).write.parquet(f"{base}/docs")
-        stored = self.spark.read.parquet(f"{base}/docs")
-        built = ix.build(stored, self.fields, "doc_id", self.analyzer)
+        built = ix.build(self.spark.read.parquet(f"{base}/docs"), self.fields, "doc_id", self.analyzer)
+        self._segment(base, built.postings, built.norms)
+
+    def _segment(self, base: str, postings: DataFrame, norms: DataFrame) -> None:
+        """Writes the tables of a segment whose documents are there, and takes it in."""
         parts = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2000))
-        built.postings.repartitionByRange(parts, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.option("parquet.bloom.filter.enabled#term", "true").partitionBy("field").parquet(f"{base}/postings")
-        built.norms.write.partitionBy("field").parquet(f"{base}/norms")
-        postings = self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{base}/postings")
-        ix.term_stats(postings).write.partitionBy("field").parquet(f"{base}/stats")
+        postings.repartitionByRange(parts, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.option("parquet.bloom.filter.enabled#term", "true").partitionBy("field").parquet(f"{base}/postings")
+        norms.write.partitionBy("field").parquet(f"{base}/norms")
+        written = self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{base}/postings")
+        ix.term_stats(written).write.partitionBy("field").parquet(f"{base}/stats")
         self.state["clock"] += 1
-        self.state["segments"].append({"path": base, "at": self.state["clock"], "docs": stored.count()})
+        fs, p = self._fs(base)
+        self.state["segments"].append({"path": base, "at": self.state["clock"], "docs": self.spark.read.parquet(f"{base}/docs").count(), "bytes": fs.getContentSummary(p).getLength()})
 
     def _delete(self, ids: DataFrame) -> None:
         base = f"{self.path}/deletes/{uuid.uuid4().hex}"
@@ -123,17 +216,19 @@ class Store:
         """Publishes what was added and deleted since the last commit; nothing is published twice."""
         if json.dumps(self.state) == self._published and not user_data:
             return self.state["generation"]
-        if self.generations() and self.generations()[-1] != self.state["generation"]:
-            raise Conflict(f"generation {self.generations()[-1]} is newer than {self.state['generation']}")
         state = self.state | {"generation": self.state["generation"] + 1, "user_data": self.state["user_data"] | (user_data or {})}
         fs, to = self._fs(f"{self.path}/commits/{state['generation']}.json")
-        _, tmp = self._fs(f"{self.path}/commits/_{uuid.uuid4().hex}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if fs.exists(to) or not fs.rename(tmp, to):
-            fs.delete(tmp, False)
-            raise Conflict(f"generation {state['generation']} is there already")
+        with self._lock():
+            last = self.generations()
+            if last and last[-1] != self.state["generation"]:
+                raise Conflict(f"generation {last[-1]} is newer than {self.state['generation']}")
+            _, tmp = self._fs(f"{self.path}/commits/_{uuid.uuid4().hex}")
+            out = fs.create(tmp, True)
+            out.write(bytearray(json.dumps(state).encode()))
+            out.close()
+            if fs.exists(to) or not fs.rename(tmp, to):
+                fs.delete(tmp, False)
+                raise Conflict(f"generation {state['generation']} is there already")
         self.state, self._published = state, json.dumps(state)
         return state["generation"]
 
@@ -163,14 +258,43 @@ class Store:
                         fs.delete(s.getPath(), True)
 
     def compact(self, force: bool = False) -> bool:
-        """Rewrites all live documents as one segment, when there are more than MERGE_AT or by force. Statistics no longer count deleted ones."""
-        if not force and len(self.state["segments"]) <= MERGE_AT:
-            return False
-        if len(self.state["segments"]) + len(self.state["deletes"]) > 1:
-            live = self.index().docs
-            self.state["segments"], self.state["deletes"] = [], []
-            self.add(live)
-        return True
+        """Merges what ``tiers`` chooses, as long as it chooses any, or all segments by force. Statistics no longer count the deleted documents of merged segments."""
+        done = False
+        while len(self.state["segments"]) + len(self.state["deletes"]) > 1:
+            if force:
+                chosen = list(range(len(self.state["segments"])))
+            else:
+                chosen = self.tiers.choose([(s["bytes"], self._deleted(s)) for s in self.state["segments"]])
+            if not chosen:
+                break
+            self._merge(chosen)
+            done = True
+            if force:
+                break
+        return done or force
+
+    def _deleted(self, segment: dict) -> float:
+        """Part of a segment's documents that are deleted, as counted when the last delete came."""
+        late = [d["path"] for d in self.state["deletes"] if d["at"] > segment["at"]]
+        if not late or not segment["docs"]:
+            return 0.0
+        if segment.get("counted") != len(late):
+            ids = self.spark.read.parquet(*late)
+            segment["gone"] = self.spark.read.parquet(f"{segment['path']}/docs").join(ids, "doc_id", "left_semi").count()
+            segment["counted"] = len(late)
+        return segment["gone"] / segment["docs"]
+
+    def _merge(self, places: list[int]) -> None:
+        """One segment from several: their documents, norms and postings as they are, without deleted ones. Texts aren't analysed again."""
+        old = [self.state["segments"][k] for k in places]
+        rest = [s for k, s in enumerate(self.state["segments"]) if k not in places]
+        base = f"{self.path}/segments/{uuid.uuid4().hex}"
+        self._tables(old, self.state["deletes"], "docs").write.parquet(f"{base}/docs")
+        postings, norms = (self._tables(old, self.state["deletes"], kind) for kind in ("postings", "norms"))
+        self.state["segments"] = rest
+        self._segment(base, postings, norms)
+        first = min((s["at"] for s in self.state["segments"]), default=0)
+        self.state["deletes"] = [d for d in self.state["deletes"] if d["at"] > first]
 
     # reading
 
@@ -184,20 +308,25 @@ class Store:
         if not segments:
             raise FileNotFoundError(f"{self.path} has no documents")
 
-        def read(kind: str) -> DataFrame:
-            out = None
-            for s in segments:
-                reader = self.spark.read.schema(SCHEMAS[kind]) if kind in SCHEMAS else self.spark.read
-                one = reader.parquet(f"{s['path']}/{kind}")
-                late = [d["path"] for d in state["deletes"] if d["at"] > s["at"]]
-                if late and kind != "stats":
-                    one = one.join(self.spark.read.parquet(*late).distinct(), "doc_id", "left_anti")
-                out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-            return out
-
+        read = lambda kind: self._tables(segments, state["deletes"], kind)
         stats = read("stats").groupBy("field", "term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_term_freq").alias("total_term_freq"))
         return Index(read("docs"), read("postings"), read("norms"), max_doc=sum(s["docs"] for s in segments), stats=stats, fields=self.fields)
 
+    def _tables(self, segments: list[dict], deletes: list[dict], kind: str) -> DataFrame:
+        """The rows of one kind of table of the segments, without those of deleted documents: one join with all tombstones, each of which holds for older segments."""
+        reader = self.spark.read.schema(SCHEMAS[kind]) if kind in SCHEMAS else self.spark.read
+        late = [] if kind == "stats" else [d for d in deletes if d["at"] > min(s["at"] for s in segments)]
+        parts = [reader.parquet(f"{s['path']}/{kind}") for s in segments]
+        if not late:
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        newest = max(d["at"] for d in late)
+        live = [p for p, s in zip(parts, segments) if s["at"] > newest]
+        aged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("textloom_at", F.lit(s["at"])) for p, s in zip(parts, segments) if s["at"] < newest])
+        gone = reduce(DataFrame.unionByName, [self.spark.read.parquet(d["path"]).select("doc_id", F.lit(d["at"]).alias("gone_at")) for d in late])
+        gone = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("gone_at").alias("gone_at"))
+        aged = aged.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("gone_at") > F.col("textloom_at")), "left_anti").drop("textloom_at")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [aged, *live])
+
     def commits(self) -> DataFrame:
         """``(generation, segments, docs, deletes)`` of each generation kept."""
         rows = [(s["generation"], len(s["segments"]), sum(x["docs"] for x in s["segments"]), len(s["deletes"])) for s in map(self._read, self.generations())]
