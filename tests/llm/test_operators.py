@@ -312,14 +312,43 @@ def test_suffix_index_is_brute_force(spark, batches):
     assert sorted(map(tuple, got)) == brute_spans(texts, 20)
 
 
-def test_levels_merge_geometrically(spark):
+def test_levels_merge_geometrically(spark, tmp_path):
+    """The family is opened anew for each batch; its levels' sizes count up in binary, and its order is that of the words' symbols."""
     rng = random.Random(8)
-    family = suffix_index.IndexFamily(spark, Tables(spark, "test"), 20, 8)
-    sizes = []
+    tables, sizes, texts = Tables(spark, "test"), [], []
     for k in range(5):
-        family.add(docs(spark, [(k, text(rng, 80))]))
+        family = suffix_index.IndexFamily(spark, str(tmp_path / "family"), 20, 8, buckets=3)
+        texts.append(text(rng, 80) + " " + texts[0][:200] if k == 3 else text(rng, 80))
+        hits = family.add(docs(spark, [(k, texts[-1]), (k, texts[-1])]), tables)
+        assert {r["doc_id"] for r in hits.collect()} == ({0, 3} if k == 3 else set())
         sizes.append(sorted(family.levels))
     assert sizes == [[1], [2], [1, 2], [4], [1, 4]]
+    import pyarrow.parquet as pq
+
+    rows = 0
+    for f in (tmp_path / "family" / family.levels[4]).glob("part-*.parquet"):
+        keys = list(zip(*(pq.read_table(f).column(c).to_pylist() for c in ("p0", "p1", "p2", "doc_id", "pos"))))
+        assert keys == sorted(keys)
+        rows += len(keys)
+    assert rows == sum(len(suffix_index.suffixes(wd.scan(pa.array([t])), 20, 8)[0]) for t in texts[:4])
+
+
+def test_only_new_batches_are_shuffled(spark, tmp_path):
+    """Merges and scans have no exchange but for the keys' partial counts: bucketed tables meet bucket by bucket."""
+    rng = random.Random(9)
+    family = suffix_index.IndexFamily(spark, str(tmp_path / "family"), 20, 8, buckets=3)
+    family.add(docs(spark, [(1, text(rng, 200))]), Tables(spark, "a"))
+    made = []
+    old = family._level(family.levels[1], made)
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (old.distinct(), old.join(old.groupBy(*suffix_index.NAMES).count(), suffix_index.NAMES, "left_semi")):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+        for x in made:
+            spark.sql(f"drop table {x}")
 
 
 # 5

@@ -1,22 +1,27 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
 Documents come in batches. The suffixes of a batch are sorted into a suffix
-array; a merge scan over it and the existing levels finds suffixes that share a long prefix; then
+array; it is merge-scanned against the existing levels for suffixes that share a long prefix; then
 levels of equal size merge with the new array, so that after 2**k batches each suffix
 was rewritten k times and the family has at most one level of each size.
 
-An array is sharded by a hash of the suffixes' prefix and sorted within each shard. It is sparse: of any
-``MIN_WORDS - PREFIX + 1`` successive suffixes the one whose first PREFIX words hash lowest is kept, so two copies of a passage of
-MIN_WORDS words or more keep the same suffix of it, wherever it stands. Sort keys are the first
-eight words' 8-bit symbols, then a hash of the first PREFIX words.
+A suffix is ordered by the symbols of its first PREFIX words, 8 bits of each word's hash, so neighbours have the longest common prefixes and the suffixes that agree in all of it are next to each other.
+An array is sparse: of any ``MIN_WORDS - PREFIX + 1`` successive suffixes the one whose first PREFIX words hash lowest is kept, so two copies of a passage of
+MIN_WORDS words or more keep the same suffix of it, wherever it stands.
 
-Suffixes that share PREFIX words are candidates. Around each, all windows of MIN_WORDS words of its document are
+A level is a table in buckets by the symbols, sorted in each, in the shared folder. Only a new batch is shuffled, into the same buckets; scans and merges go bucket by bucket over what is there.
+A manifest names the levels, so a family can be opened again and go on.
+
+Suffixes that share a prefix of PREFIX words are candidates. Matches may go on before and after it: around each candidate, all windows of MIN_WORDS words of its document are
 compared by 64-bit hash with the windows around the other candidates; windows that occur twice or more are repeated passages, and
 overlapping ones join to spans.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +33,9 @@ from .shared import Tables
 MIN_WORDS = 50
 PREFIX = 24
 BATCHES = 4
+#: Numbers that hold the symbols of a prefix.
+KEYS = 3
+NAMES = [f"p{k}" for k in range(KEYS)]
 U = np.uint64
 
 
@@ -41,12 +49,12 @@ def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
     return op(cur[: len(cur) - rest], cur[rest:]) if rest else cur
 
 
-def suffixes(w: wd.Words, min_words: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the kept suffixes, with their two sort keys."""
+def suffixes(w: wd.Words, min_words: int, prefix: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Positions of the kept suffixes, with the symbols of their first ``prefix`` words, eight to a number, which order them."""
     n, span = len(w.h), min_words - prefix + 1
     empty = np.zeros(0, np.int64)
     if n < min_words:
-        return empty, empty, empty
+        return empty, [empty] * KEYS
     g, _ = wd.ngrams(w.h, w.off, prefix)
     _, whole = wd.ngrams(w.h, w.off, min_words)
     last = n - prefix + 1
@@ -56,94 +64,116 @@ def suffixes(w: wd.Words, min_words: int, prefix: int) -> tuple[np.ndarray, np.n
     padded = np.concatenate([np.zeros(span - 1, U), low, np.zeros(last - len(low), U)])
     most = _sliding(padded, span, np.maximum)[:last]
     at = np.flatnonzero((most == g[:last]) & (most > 0))
-    p = np.zeros(len(at), U)
-    for j in range(min(8, prefix)):
-        p |= (w.h[at + j] >> U(56)) << U(56 - 8 * j)
-    return at, (p ^ U(1 << 63)).view(np.int64), g[at].view(np.int64)
+    keys = []
+    for k in range(KEYS):
+        p = np.zeros(len(at), U)
+        for j in range(8 * k, min(8 * k + 8, prefix)):
+            p |= (w.h[at + j] >> U(56)) << U(56 - 8 * (j - 8 * k))
+        keys.append((p ^ U(1 << 63)).view(np.int64))  # signed numbers in the order of the symbols
+    return at, keys
 
 
 def _entries(min_words: int, prefix: int):
     def run(batches):
         for b in wd.slices(batches):
             w = wd.scan(b.column(1))
-            at, p, q = suffixes(w, min_words, prefix)
+            at, keys = suffixes(w, min_words, prefix)
             doc = np.searchsorted(w.off, at, side="right") - 1
             ids = b.column(0).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), ids, pa.array((at - w.off[doc]).astype(np.int32))], ["p", "q", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), ids, pa.array((at - w.off[doc]).astype(np.int32))], [*NAMES, "doc_id", "pos"])
 
     return run
 
 
-def _scan(batches):
-    """Over rows in order of p, q, old: marks those of runs that hold a new suffix and another one."""
-    held = None
-    rows = None
-
-    def out(x, hit):
-        keep = (x["keep"] > 0) | hit
-        return pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in ("p", "q", "doc_id", "pos", "keep")] + [pa.array(hit[keep])], ["p", "q", "doc_id", "pos", "keep", "hit"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x = {c: np.asarray(b.column(i)) for i, c in enumerate(b.schema.names)}
-        lead = (True, True)  # row 0 starts a run; its run starts with a new suffix
-        if held is not None:
-            rows, lead = held
-            x = {c: np.concatenate([rows[c], x[c]]) for c in x}
-        n = len(x["p"])
-        same = (x["p"][1:] == x["p"][:-1]) & (x["q"][1:] == x["q"][:-1])
-        again = same & (x["doc_id"][1:] == x["doc_id"][:-1]) & (x["pos"][1:] == x["pos"][:-1])
-        if again.any():  # repeated rows of a document
-            one = np.r_[True, ~again]
-            x = {c: v[one] for c, v in x.items()}
-            n = len(x["p"])
-            same = (x["p"][1:] == x["p"][:-1]) & (x["q"][1:] == x["q"][:-1])
-        start = np.r_[lead[0], ~same]
-        head = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-        fresh = x["old"][head] == 0
-        if not start[0]:
-            fresh[: int(np.argmax(start)) if start.any() else n] = lead[1]
-        hit = fresh & (~start | np.r_[same, False])
-        held = ({c: v[-1:].copy() for c, v in x.items()}, (bool(start[-1]), bool(fresh[-1])))
-        if n > 1:
-            yield out({c: v[:-1] for c, v in x.items()}, hit[:-1])
-    if held is not None:
-        rows, (start, fresh) = held
-        yield out(rows, np.array([fresh and not start]))
-
-
 class IndexFamily:
-    """Levels of suffix arrays; ``levels`` maps a size in batches to its table."""
-
-    def __init__(self, spark: SparkSession, tables: Tables, min_words: int = MIN_WORDS, prefix: int = PREFIX):
-        self.spark, self.tables, self.min_words, self.prefix = spark, tables, min_words, prefix
-        self.levels: dict[int, tuple[str, DataFrame]] = {}
-        self.hits: list[DataFrame] = []
-        self.batches = 0
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Sorts a batch's suffixes, scans them against all levels, merges levels of equal size; gives the candidates found, ``(doc_id, pos)``."""
-        size = 1
-        merged = []
-        while size in self.levels:
-            merged.append(size)
-            size *= 2
-        new = docs.mapInArrow(_entries(self.min_words, self.prefix), "p long, q long, doc_id long, pos int")
-        rows = new.select("*", F.lit(1).cast("byte").alias("keep"), F.lit(0).cast("byte").alias("old"))
-        for k, (_, level) in self.levels.items():
-            rows = rows.unionByName(level.select("p", "q", "doc_id", "pos", F.lit(int(k in merged)).cast("byte").alias("keep"), F.lit(1).cast("byte").alias("old")))
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(parts, "p", "q").sortWithinPartitions("p", "q", "old", "doc_id", "pos")
-        rows = rows.mapInArrow(_scan, "p long, q long, doc_id long, pos int, keep byte, hit boolean")
-        name = f"level{self.batches}"
-        table = self.tables.write(rows, name)
-        hits = self.tables.write(table.where("hit").select("doc_id", "pos"), f"hits{self.batches}")
-        for k in merged:
-            self.tables.drop(self.levels.pop(k)[0])
-        self.levels[size] = (name, table.where("keep > 0").select("p", "q", "doc_id", "pos"))
-        self.hits.append(hits)
+    """Levels of suffix arrays in a folder; ``levels`` maps a size in batches to its table's folder. A folder with a manifest is opened as it is."""
+
+    def __init__(self, spark: SparkSession, path: str, min_words: int = MIN_WORDS, prefix: int = PREFIX, buckets: int | None = None):
+        if prefix > 8 * KEYS:
+            raise ValueError(f"at most {8 * KEYS} words order a suffix")
+        self.spark, self.path = spark, path.rstrip("/")
+        fs, p = self._fs("manifest.json")
+        if fs.exists(p):
+            stream = fs.open(p)
+            try:
+                state = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+            if (state["min_words"], state["prefix"]) != (min_words, prefix):
+                raise ValueError("the index was made with other lengths")
+        else:
+            state = {"min_words": min_words, "prefix": prefix, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "batches": 0, "levels": {}}
+        self.min_words, self.prefix, self.buckets, self.batches = min_words, prefix, state["buckets"], state["batches"]
+        self.levels: dict[int, str] = {int(k): v for k, v in state["levels"].items()}
+
+    def _fs(self, name: str):
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+    def _save(self) -> None:
+        """The manifest is written aside and renamed, so that one or the other is there."""
+        text = json.dumps({"min_words": self.min_words, "prefix": self.prefix, "buckets": self.buckets, "batches": self.batches, "levels": self.levels})
+        fs, p = self._fs("manifest.json")
+        _, tmp = self._fs(f"manifest-{uuid.uuid4().hex}")
+        out = fs.create(tmp, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.exists(p):
+            fs.delete(p, False)
+        fs.rename(tmp, p)
+
+    def _write(self, df: DataFrame, name: str) -> None:
+        table = f"textloom_{uuid.uuid4().hex}"
+        writer = df.write.format("parquet").bucketBy(self.buckets, *NAMES).sortBy(*NAMES, "doc_id", "pos").option("path", f"{self.path}/{name}")
+        writer.saveAsTable(table)
+        self.spark.sql(f"drop table {table}")  # the files stay
+
+    def _level(self, name: str, made: list[str]) -> DataFrame:
+        """A level as a table that Spark knows the buckets of, under a passing name."""
+        table = f"textloom_{uuid.uuid4().hex}"
+        keys = ", ".join(NAMES)
+        self.spark.sql(f"create table {table} ({', '.join(f'{k} long' for k in NAMES)}, doc_id long, pos int) using parquet clustered by ({keys}) sorted by ({keys}, doc_id, pos) into {self.buckets} buckets location '{self.path}/{name}'")
+        made.append(table)
+        return self.spark.table(table)
+
+    def add(self, docs: DataFrame, tables: Tables) -> DataFrame:
+        """Sorts a batch's suffixes, scans them against all levels, merges levels of equal size; gives the candidates found, ``(doc_id, pos)``, of the batch and of those that it matches."""
+        made: list[str] = []
+        k = self.batches
+        new = docs.mapInArrow(_entries(self.min_words, self.prefix), ", ".join(f"{x} long" for x in NAMES) + ", doc_id long, pos int")
+        self._write(new.repartition(self.buckets, *NAMES), f"batch{k}")  # all that is shuffled
+        try:
+            new = self._level(f"batch{k}", made).distinct()  # repeated rows of a document
+            own = new.groupBy(*NAMES).agg(F.count("*").alias("n"))
+            hits = new.join(own.where("n > 1").select(*NAMES), NAMES, "left_semi").select("doc_id", "pos")
+            for name in self.levels.values():
+                old = self._level(name, made)
+                hits = hits.unionByName(old.join(own.select(*NAMES), NAMES, "left_semi").select("doc_id", "pos"))
+                hits = hits.unionByName(new.join(old.select(*NAMES), NAMES, "left_semi").select("doc_id", "pos"))
+            hits = tables.write(hits, f"hits{k}")
+            size, merged = 1, [f"batch{k}"]
+            while size in self.levels:
+                merged.append(self.levels.pop(size))
+                size *= 2
+            # the levels' files, each of one bucket, come to one folder; a bucket is then read whole, and written in order
+            fs, heap = self._fs(f"heap{k}")
+            fs.mkdirs(heap)
+            for i, name in enumerate(merged):
+                _, old = self._fs(name)
+                for s in fs.listStatus(old):
+                    file = s.getPath().getName()
+                    if file.startswith("part-"):
+                        fs.rename(s.getPath(), self._fs(f"heap{k}/part-{i:05d}{file[10:]}")[1])
+                fs.delete(old, True)
+            self._write(self._level(f"heap{k}", made).distinct(), f"level{k}")
+            fs.delete(heap, True)
+        finally:
+            for table in made:
+                self.spark.sql(f"drop table if exists {table}")
+        self.levels[size] = f"level{k}"
         self.batches += 1
+        self._save()
         return hits
 
 
@@ -232,17 +262,18 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, min_words: int = MIN
     windows that occur earlier too, in a document of lesser doc_id or earlier in the same one: those that a dedup removes.
     The documents, spread over batches by a hash of doc_id, enter the family of indexes one batch after the other; the result doesn't depend on the number of batches.
 
-    Rows with a null doc_id and null texts have no spans. Repeated rows of a doc_id count once. Other columns are ignored.
+    Rows with a null doc_id and null texts have no spans, an empty table gives none, and very long texts are read whole. Repeated rows of a doc_id count once; copies of equal age are in order of doc_id. Other columns are ignored.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "suffix")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    family = IndexFamily(spark, tables, min_words, prefix)
+    family = IndexFamily(spark, f"{tables.base}/family", min_words, prefix)
+    hits = None
     for k in range(batches):
-        family.add(base.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    hits = family.hits[0]
-    for more in family.hits[1:]:
-        hits = hits.unionByName(more)
+        more = family.add(base.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), tables)
+        hits = more if hits is None else hits.unionByName(more)
+        tables.release()
+    tables.drop("family")
     hits = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
     windows = base.join(hits, "doc_id").select("doc_id", "text", "pos").mapInArrow(_windows(min_words, prefix), "h long, doc_id long, s int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
