@@ -154,5 +154,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: The order of suffixes and their common prefixes have no short SQL form; tests compare with brute force.
-SQL = None
+#: Words are covered where windows of MIN_WORDS words recur in a document; a repeat is as long as equal windows follow each other at one distance.
+SQL = rf"""
+with w as (select row_number() over () as id, doc_id, case when text is null then [] else regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') end as w from documents),
+g as (select id, unnest(range(0, len(w) - {MIN_WORDS - 1})) as s, unnest([hash(array_to_string(w[i:i + {MIN_WORDS - 1}], ' ')) for i in range(1, len(w) - {MIN_WORDS - 2})]) as h from w where len(w) >= {MIN_WORDS}),
+r as (select id, s, h from (select *, count(*) over (partition by id, h) as n from g) where n > 1),
+c as (select id, sum(least({MIN_WORDS}, s - coalesce(lag, -1000000))) as covered from (select id, s, lag(s) over (partition by id order by s) as lag from r) group by id),
+p as (select a.id, b.s - a.s as d, a.s - row_number() over (partition by a.id, b.s - a.s order by a.s) as run from r a join r b on a.id = b.id and a.h = b.h and a.s < b.s),
+l as (select id, max(n) + {MIN_WORDS - 1} as longest from (select id, count(*) as n from p group by id, d, run) group by id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(covered, 0) as bigint) as covered_words, coalesce(covered, 0) / cast(greatest(len(w), 1) as double) as covered_fraction, cast(coalesce(longest, 0) as bigint) as longest_repeat,
+coalesce(covered, 0) / cast(greatest(len(w), 1) as double) <= {MAX_COVERED} and coalesce(longest, 0) <= {MAX_LONGEST} as keep
+from w left join c using (id) left join l using (id)
+"""
