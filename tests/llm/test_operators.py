@@ -874,6 +874,80 @@ def test_template_windows_are_brute_force(spark):
     assert got == want and want
 
 
+def brute_template(t):
+    """Word by word: (token, value, whether it is a placeholder)."""
+    out, end, before_num, before_digit = [], 0, False, False
+    for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", t):
+        raw, gap = m[0], t[end : m.start()]
+        w, starts = raw.lower(), not out or any(c in '.!?:;|\n"' for c in gap)
+        digit = "0" <= w[0] <= "9"
+        num = digit or w in templates.NUMBERS
+        unit = before_num and w in templates.UNITS
+        name = raw[0] != raw[0].lower() and sum(c != c.lower() for c in raw) == 1 and not starts
+        value = w
+        if before_digit and digit and gap in (".", ","):
+            value = (out.pop()[1], w)  # 3.5 is one value
+        out.append(("NUM" if num else "UNIT" if unit else "NAME" if name else w, value, num or unit or name))
+        end, before_num, before_digit = m.end(), num, digit
+    return out
+
+
+def brute_leaks(texts, items):
+    got = {}
+    docs_ = {d: brute_template(t) for d, t in texts.items()}
+    for item, own in ((i, brute_template(t)) for i, t in items.items()):
+        n = min(templates.WINDOW, len(own))
+        if not n:
+            continue
+        count = len(own) - n + 1
+        literal = [n - sum(x[2] for x in own[i : i + n]) >= min(templates.LITERALS, (n + 1) // 2) for i in range(count)]
+        for d, doc in docs_.items():
+            hit, part, other = set(), set(), False
+            for at in range(-len(own), len(doc)):
+                same = lambda i, k: [x[k] for x in own[i : i + n]] == [x[k] for x in doc[at + i : at + i + n]]  # noqa: E731, B023
+                here = [i for i in range(count) if 0 <= at + i <= len(doc) - n and same(i, 0 if literal[i] else 1)]
+                slots = {p: (own[p][1], doc[at + p][1]) for i in here if literal[i] for p in range(i, i + n) if own[p][2]}
+                votes = defaultdict(Counter)
+                for a, b in slots.values():
+                    votes[a][b] += 1
+                good = {a: b for a, c in votes.items() for b, k in c.items() if sum(x == k for x in c.values()) == 1 and k == max(c.values())}
+                clash = {p for p, (a, b) in slots.items() if a != b and good.get(a) != b}
+                kept = [i for i in here if not clash & set(range(i, i + n))]
+                hit |= set(kept)
+                part |= {i for i in kept if literal[i]}
+                other |= any(p in slots and slots[p][0] != slots[p][1] for i in kept for p in range(i, i + n))
+            few = sum(literal)
+            a, b = (len(part), few) if few and len(part) * count >= len(hit) * few else (len(hit), count)
+            if a and a / b >= templates.MIN_COVERAGE:
+                got[d, item] = (a, b, other)
+    return got
+
+
+def test_templates_are_brute_force(spark):
+    rng = random.Random(23)
+    names, units = ["Brown", "Émile", "Leeds", "Otto", "NATO", "McKay"], ["km", "hours", "kg"]
+
+    def word():
+        return rng.choice([lambda: rng.choice(WORDS), lambda: rng.choice(WORDS), lambda: rng.choice(WORDS), lambda: rng.choice(names), lambda: str(rng.choice([3, 7, 12, "3.5", "1,200", "seven"])), lambda: f"{rng.randint(1, 9)} {rng.choice(units)}"])()
+
+    items = {i: " ".join(word() + rng.choice(["", "", "", "", ".", ","]) for _ in range(rng.choice([2, 5, 9, 14, 25]))) for i in range(14)}
+    texts = {}
+    for d in range(160):
+        words = items[rng.randrange(14)].split()
+        for _ in range(rng.choice([0, 0, 0, 1, 3])):  # other numbers, names and units, here and there or throughout
+            old = rng.choice(words)
+            new = word().split()[0]
+            words = [new if x == old else x for x in words] if rng.random() < 0.5 else [new if k == words.index(old) else x for k, x in enumerate(words)]
+        cut = words[rng.choice([0, 0, 2]) : rng.choice([30, 30, 12])]
+        texts[d] = " ".join([*(word() for _ in range(rng.randint(0, 12))), *cut, *(word() for _ in range(rng.randint(0, 12)))])
+    want = brute_leaks(texts, items)
+    assert len(want) > 40 and any(r[2] for r in want.values()) and not all(r[2] for r in want.values())
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for parts in (1, 5):
+        got = templates.leaks(docs(spark, list(texts.items())).repartition(parts), bench).collect()
+        assert {(r["doc_id"], r["item_id"]): (r["windows"], r["item_windows"], r["reworded"]) for r in got} == want
+
+
 def test_names_do_not_depend_on_neighbours():
     own = ["He asked Émile and Oxford and Игорь and Рим, NATO and Weiß", "the Straße in Köln"]
 
