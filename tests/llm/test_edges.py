@@ -64,7 +64,24 @@ def test_edges(spark, name, kind):
         assert len(got) == len(rows(kind))
 
 
-@pytest.mark.parametrize("kind", ["empty", "small"])
+def test_edge_values(spark):
+    """What nulls, empty texts, repeats and extra columns give, operator by operator."""
+    got = {name: sorted((tuple(r) for r in f(spark, frame(spark, "small"), "small").collect()), key=str) for name, f in OPERATORS.items() if name not in ("mixture", "toxicity")}
+    assert got["parity_join"] == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0)]
+    assert got["repetition"] == sorted([(d, n, c, c / max(n, 1), longest, keep) for d, n, c, longest, keep in [(1, 9, 0, 0, True)] * 2 + [(None, 9, 0, 0, True), (2, 0, 0, 0, True), (3, 0, 0, 0, True), (4, 0, 0, 0, True), (None, 0, 0, 0, True), (5, 60, 60, 58, False)]], key=str)
+    assert got["suffix_index"] == [(5, 0, 60, 60, 58)]
+    assert [(r[0], r[1] > 0) for r in got["simple8b"]] == [(1, True), (1, True), (2, False), (3, False), (4, True), (5, True), (None, False), (None, True)]
+    assert all(r[1:] == (0, b"", []) for r in got["simple8b"] if r[0] in (2, 3))
+    assert got["secrets"] == [] and got["templates"] == []
+    assert [(r[0], r[1], r[4]) for r in got["blocks"]] == [(1, 0, True), (1, 0, True), (4, 0, True), (5, 0, True), (None, 0, True)]
+    assert [(r[0], r[1], r[3], r[5]) for r in got["quotes"]] == [(1, 3, "one text of some words that stands here alone", None), (3, 0, "", None), (4, 0, "!!! ... \n\t", None), (5, 1, "ж中😀 é " * 30, None)]
+    mixed = OPERATORS["mixture"](spark, frame(spark, "small"), "small").collect()
+    assert len(mixed) == 8 and sorted(r["position"] for r in mixed) == list(range(8)) and {r["source"] for r in mixed} <= {"a", "b", "", None}
+    scored = OPERATORS["toxicity"](spark, frame(spark, "small"), "small").collect()
+    assert not any(r["toxic"] for r in scored) and len({r["score"] for r in scored if r["doc_id"] in (2, 3, 4)}) == 1
+
+
+@pytest.mark.parametrize("kind", ["empty", "small", "long"])
 def test_stages_keep_columns(spark, tmp_path, kind):
     bench(spark, kind).write.parquet(str(tmp_path / "benchmark.parquet"))
     d = frame(spark, kind)
@@ -75,7 +92,7 @@ def test_stages_keep_columns(spark, tmp_path, kind):
         out.write.parquet(str(tmp_path / name))
         d = spark.read.parquet(str(tmp_path / name))
     assert d.columns == ["doc_id", "n_ids", "words", "blocks"]
-    assert (d.count() > 0) == (kind == "small")
+    assert (d.count() > 0) == (kind != "empty")
 
 
 def test_pipeline_is_its_operators_in_turn(spark, tiny):

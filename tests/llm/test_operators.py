@@ -468,7 +468,7 @@ def test_long_runs_and_pieces_lose_nothing(spark, monkeypatch):
     rng = random.Random(15)
     texts = families(rng, [f"w{i}" for i in range(25)], 30)
     want = classes_of(texts)
-    for name, value in (("SHORT", 2), ("BLOCK", 8), ("MEMBERS", 3), ("PIECE", 5), ("LOCAL", 1), ("FREQUENT", 2), ("BUCKET", 500)):
+    for name, value in (("SHORT", 2), ("BLOCK", 8), ("MEMBERS", 3), ("PIECE", 5), ("LOCAL", 1), ("FREQUENT", 2), ("BUCKET", 500), ("CHUNK", 7), ("PAIRS", 3)):
         monkeypatch.setattr(parity_join, name, value)
     assert found_classes(spark, list(texts.items())) == want
     kept = {r["doc_id"] for r in parity_join.one_of_each(docs(spark, list(texts.items()))).collect()}
