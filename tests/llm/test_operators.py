@@ -381,6 +381,13 @@ def test_pack_gives_the_tokenizers_ids(spark, tiny):
         assert r["n_ids"] == len(want) and simple8b.decode(bytes(r["words"]), r["blocks"], r["n_ids"]).tolist() == want
 
 
+def test_unpack_gives_the_ids_back(spark):
+    enc = simple8b.encoding(open(simple8b.TOKENIZER, "rb").read())
+    rows = [(1, "some words and more"), (2, None), (3, ""), (None, "x y"), (4, "word " * 3000)]
+    got = simple8b.unpack(simple8b.pack(docs(spark, rows), block=128), block=128).collect()
+    assert [(r["doc_id"], list(r["ids"])) for r in got] == [(d, enc.encode(t or "")) for d, t in rows]
+
+
 # 6
 
 

@@ -126,7 +126,7 @@ def measure(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MA
     """``(doc_id, n_words, covered_words, covered_fraction, longest_repeat, keep)`` for each row of docs.
 
     covered_words: words in repeated substrings of min_words words or more, each occurrence counting, overlaps once.
-    Null and empty texts have no words, nothing covered, and are kept. Each row stands for itself: nulls and repeats of doc_id don't matter. Other columns are ignored.
+    Null and empty texts have no words, nothing covered, and are kept; an empty table gives no rows; very long texts are read whole. Each row stands for itself: nulls and repeats of doc_id don't matter. Other columns are ignored.
     """
 
     def run(batches):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Folders of all Tables of this process, in the order in which they were made.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return _OWN[app]
 
 
@@ -41,6 +46,7 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+        _MADE.append(self.base)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -59,6 +65,20 @@ class Tables:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def made() -> int:
+    """How many folders there are so far, for ``sweep``."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Removes the tables of operators that began since then: for when their result is written and no plan reads them any more."""
+    sc = spark.sparkContext
+    for base in _MADE[since:]:
+        path = sc._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    del _MADE[since:]
+
+
 def groups(edges: DataFrame, tables: Tables, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """Connected groups of an edge list: ``(node, root)`` with root the least node of each group.
 

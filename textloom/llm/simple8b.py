@@ -164,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> Dat
     """``(doc_id, n_ids, words, blocks)`` for each row of docs: the ids of its text, packed.
 
     words holds little-endian 64-bit words, blocks the first word of each block of ``block`` ids. tokenizer is the path of a ranks file on the driver; its content is broadcast.
-    Null and empty texts give no ids, no words and no blocks. Each row stands for itself: nulls and repeats of doc_id don't matter. Other columns are ignored.
+    Null and empty texts give no ids, no words and no blocks; an empty table gives no rows; very long texts are encoded piece by piece, to the ids of the whole. Each row stands for itself: nulls and repeats of doc_id don't matter. Other columns are ignored.
     """
     with open(tokenizer, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -187,6 +187,18 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> Dat
     return base.mapInArrow(run, "doc_id long, n_ids long, words binary, blocks array<int>")
 
 
+def unpack(packed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, ids)`` from the rows of ``pack``, with the same block: an array of ids for each row, empty where there are none. Null words or blocks give a null."""
+
+    def run(batches):
+        for b in batches:
+            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
+            ids = [None if w is None or at is None or n is None else decode(w, at, n, block) for n, w, at in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x for x in ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return packed.select("doc_id", "n_ids", "words", "blocks").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

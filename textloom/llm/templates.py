@@ -192,7 +192,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
     Items of fewer than ``window`` template tokens are one window. Windows with too few literal words match by their words alone, values and all, so an item of
     such windows is found as a copy, not reworded. item_windows are the windows of the item that may be reworded, or all of it where these are covered better.
 
-    Rows with a null doc_id or item_id, null and empty texts match nothing. Repeated rows, and repeated ids, count once. Other columns are ignored.
+    Rows with a null doc_id or item_id, null and empty texts match nothing; an empty table gives no rows; very long texts are read whole. Of tied slot values none counts as the common one. Repeated rows, and repeated ids, count once. Other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()

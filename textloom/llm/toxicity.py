@@ -2,8 +2,8 @@
 
 A writer who hides a word swaps letters for look-alikes, sets its letters apart or repeats them. Each such stretch becomes a lattice of characters:
 a look-alike may stand for several letters, a repeated letter for one or two, a separator for nothing or for a word boundary, each at a cost. The Viterbi path of least cost under a
-character language model, 4-grams counted over all documents, is the restored word. A stretch without look-alikes, repetition or spacing has a lattice of a single path, itself,
-and isn't searched.
+character language model, 4-grams counted over all documents, is the restored word. A stretch without look-alikes, three equal letters or spacing isn't searched; words are
+compared with repeated letters taken once, so a letter that is only doubled needs no search.
 
 The score is naive Bayes over words that labelled documents show to be toxic. Copies among the labelled documents are told by min-hashes of their word 3-grams, half of which must agree, and
 count once, so the words of a text that was copied many times don't become signs of anything.
@@ -330,7 +330,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
     score: probability that the restored text is toxic. signs: different toxic words in it. restored: stretches that were obfuscated. toxic: score is 0.5 or more and there is a sign.
     The classifier is fitted on at most train_docs labelled documents of each class; doc_ids with labels of both kinds count as toxic. Without labelled toxic documents no document has a sign.
 
-    Null and empty texts have no signs and score the prior. Each row stands for itself: a null doc_id is reported as null, repeated rows repeat; labels with a null doc_id or
+    Null and empty texts have no signs and score the prior; an empty table gives no rows; very long texts are read whole. Of equally good paths the first in order of choices counts. Each row stands for itself: a null doc_id is reported as null, repeated rows repeat; labels with a null doc_id or
     null toxic are left out. Other columns are ignored.
     """
     spark = docs.sparkSession
