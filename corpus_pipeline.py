@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import mixture, parity_join, repetition, simple8b, templates
-from textloom.llm.shared import Tables
+from textloom.llm.shared import Tables, made, sweep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Nulls, empty texts, repeated rows and empty tables are each stage's to handle, as its operator says."""
     docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
+        since = made()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = tables.write(docs, name)
+            # written, so neither what the stage read nor what it put aside is needed any more
+            sweep(spark, since)
+            if k:
+                tables.drop(STAGES[k - 1][0])
     return docs
