@@ -12,8 +12,8 @@ from textloom.functions import automata as au
 from textloom.functions import bitsets, norms, scalars
 from textloom.operators import search as se
 from textloom.operators.explain import explain
-from textloom.operators.index import build, check
-from textloom.plans.config import DOCS, KEYWORD, POSITIONS, STORED, TEXT, FieldOptions, IndexConfig
+from textloom.operators.index import build, cached, check, release
+from textloom.plans.config import DOCS, KEYWORD, OFFSETS, POSITIONS, STORED, TEXT, FieldOptions, IndexConfig
 from textloom.plans.parser import ParseError, Parser
 from textloom.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Pattern, Phrase, Term, must, should
 from textloom.plans.similarity import PerField, Similarity
@@ -156,6 +156,22 @@ def test_offsets(spark):
         assert text[r["start"] : r["end"]] == r["raw"]
 
 
+def test_offsets_are_kept_with_postings(spark, tmp_path):
+    text = "The Fox saw a fox. It's the FOX!"
+    options = {"text": FieldOptions(options=OFFSETS)}
+    d = frame(spark, [text, None, "no match"])
+    s = Store(spark, str(tmp_path / "ix"), options)
+    s.add(d)
+    s.commit()
+    for index in (build(d, options), s.index(), cached(build(d, options))):
+        row = index.postings.where("term = 'fox'").first()
+        assert row["freq"] == 3 and row["positions"] == [1, 4, 7] and {text[a:b].lower() for a, b in row["offsets"]} == {"fox"}
+        assert ranked(se.search(index, T("fox"))) == ranked(se.search(build(d, {"text": TEXT}), T("fox")))
+    release(index)
+    with pytest.raises(ValueError):
+        build(d, {"text": FieldOptions(options=OFFSETS, tokenized=False)})
+
+
 # search
 
 

@@ -82,13 +82,14 @@ class Analyzer:
         raw = F.flatten(F.transform(F.coalesce(value, F.array()), self.raw)) if many else self.raw(value)
         out = F.transform(raw, lambda t, i: F.struct((F.lower(t) if self.lower else t).alias("term"), i.alias("pos")))
 
-        def good(t):
-            ok = F.char_length(t["term"]) <= self.max_length if self.max_length else F.lit(True)
-            if self.stop:
-                ok = ok & ~t["term"].isin(*self.stop)
-            return ok & self.keep(t["term"]) if self.keep else ok
-
-        return once(F.filter(out, good))
+        return once(F.filter(out, lambda t: self.accepts(t["term"])))
+
+    def accepts(self, term: Column) -> Column:
+        """Whether the filters let a term through."""
+        ok = F.char_length(term) <= self.max_length if self.max_length else F.lit(True)
+        if self.stop:
+            ok = ok & ~term.isin(*self.stop)
+        return ok & self.keep(term) if self.keep else ok
 
     def words(self, text: str) -> list[str]:
         """Terms of one text, on the driver: for queries. By the same tokenizer for the scripts that both know; where the analyzer has a column function of its own, by that."""

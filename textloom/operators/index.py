@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import norms
-from textloom.functions.analysis import KEYWORD, STANDARD, Analyzer
-from textloom.plans.config import FREQS, POSITIONS, TEXT, FieldOptions
+from textloom.functions.analysis import KEYWORD, STANDARD, Analyzer, offsets, raw_tokens
+from textloom.plans.config import FREQS, OFFSETS, POSITIONS, TEXT, FieldOptions
 
 
 @dataclass
 class Index:
-    """Tables of an index. postings: (field, term, doc_id, freq, positions, norm); max_doc counts deleted documents too, until they are compacted."""
+    """Tables of an index. postings: (field, term, doc_id, freq, positions, norm), and offsets if a field keeps them; max_doc counts deleted documents too, until they are compacted."""
 
     docs: DataFrame
     postings: DataFrame
@@ -59,6 +60,18 @@ def inverted(rows: DataFrame, name: str, options: FieldOptions = TEXT) -> DataFr
     return out.select(F.lit(name).alias("field"), "term", "doc_id", "freq", "positions", "norm")
 
 
+def inverted_with_offsets(docs: DataFrame, rows: DataFrame, name: str, analyzer: Analyzer, doc_id: str) -> DataFrame:
+    """Postings of a field with ``offsets``: start and end of each occurrence in characters of the text, in order of position."""
+    if analyzer.raw is not raw_tokens:
+        raise ValueError("offsets are kept of texts that the standard tokenizer takes apart")
+    term = F.lower("raw") if analyzer.lower else F.col("raw")
+    at = offsets(docs.where(F.col(doc_id).isNotNull()), doc_id, name).select(F.col("doc_id").cast("long").alias("doc_id"), term.alias("term"), F.struct("pos", "start", "end").alias("o"))
+    at = at.where(analyzer.accepts(F.col("term"))).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("o")).alias("o"))
+    at = at.join(rows.select("doc_id", "norm"), "doc_id")
+    places = F.transform("o", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return at.select(F.lit(name).alias("field"), "term", "doc_id", F.size("o").alias("freq"), F.col("o.pos").alias("positions"), "norm", places.alias("offsets"))
+
+
 def build(docs: DataFrame, fields: dict[str, FieldOptions], doc_id: str = "doc_id", analyzer: Analyzer = STANDARD, analyzers: dict[str, Analyzer] | None = None, boosts: dict[str, Column] | None = None) -> Index:
     """The index of docs, as a plan: nothing runs until a table is used. doc_id is unique; rows without one are left out, null and empty texts have no tokens."""
     postings = norm_rows = None
@@ -66,9 +79,14 @@ def build(docs: DataFrame, fields: dict[str, FieldOptions], doc_id: str = "doc_i
         if not options.indexed:
             continue
         rows = analysed(docs, name, options, (analyzers or {}).get(name, analyzer), doc_id, (boosts or {}).get(name))
-        one = inverted(rows, name, options)
+        if options.options >= OFFSETS:
+            if options.many or not options.tokenized:
+                raise ValueError("offsets are kept of single tokenized texts")
+            one = inverted_with_offsets(docs, rows, name, (analyzers or {}).get(name, analyzer), doc_id)
+        else:
+            one = inverted(rows, name, options)
         norm = rows.where("length > 0").select(F.lit(name).alias("field"), "doc_id", "length", "norm_byte", "norm")
-        postings = one if postings is None else postings.unionByName(one)
+        postings = one if postings is None else postings.unionByName(one, allowMissingColumns=True)
         norm_rows = norm if norm_rows is None else norm_rows.unionByName(norm)
     if postings is None:
         raise ValueError("no field is indexed")
@@ -113,3 +131,14 @@ def check(index: Index) -> DataFrame:
     else:
         wrong = spark.createDataFrame([("statistics_are_right", 0)], "check string, bad long")
     return sizes.unionByName(lengths).unionByName(orphans).unionByName(twice).unionByName(wrong)
+
+
+def cached(index: Index, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Index:
+    """An index in the executors' memory, for one that isn't worth a store: its tables are made once, at their first use. ``release`` lets it go."""
+    return replace(index, docs=index.docs.persist(level), postings=index.postings.persist(level), norms=index.norms.persist(level), stats=index.term_stats().persist(level))
+
+
+def release(index: Index) -> None:
+    for table in (index.docs, index.postings, index.norms, index.stats):
+        if table is not None:
+            table.unpersist()

@@ -16,7 +16,7 @@ from textloom.operators import search as se
 from textloom.operators.explain import explain, explain_all
 from textloom.operators.index import Index, build
 from textloom.plans import oracle as o
-from textloom.plans.config import DOCS, KEYWORD, TEXT, FieldOptions
+from textloom.plans.config import DOCS, KEYWORD, OFFSETS, TEXT, FieldOptions
 from textloom.plans.parser import Parser
 from textloom.plans.query import MUST, MUST_NOT, SHOULD, Boolean, MatchAll, Pattern, Phrase, Query, Term, must, should
 from textloom.plans.similarity import PerField, Similarity
@@ -136,6 +136,16 @@ def postings_positions(spark, sf_dir):
     return documents(spark, sf_dir).postings.select("doc_id", "term", F.array_join("positions", ",").alias("positions"))
 
 
+_PARTS = f"string_split(regexp_replace(translate(text, chr(1), ' '), '({o._TOKEN})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+
+
+@add("postings_offsets", f"with m as (select doc_id, unnest({_PARTS}) as part, unnest(range(len({_PARTS}))) as k from documents), e as (select doc_id, k, part, sum(length(part)) over (partition by doc_id order by k) as e from m), t as (select doc_id, lower(part) as term, e - length(part) as s, e from e where k % 2 = 1 and regexp_matches(part, '[\\p{{L}}\\p{{N}}]')) select doc_id, term, count(*) as freq, string_agg(cast(s as bigint) || '-' || cast(e as bigint), ',' order by s) as offsets from t where length(term) <= 255 and term not in ({o._STOP}) group by doc_id, term")
+def postings_offsets(spark, sf_dir):
+    rows = documents(spark, sf_dir, options=FieldOptions(options=OFFSETS)).postings
+    shown = F.array_join(F.transform("offsets", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return rows.select("doc_id", "term", F.col("freq").cast("long").alias("freq"), shown.alias("offsets"))
+
+
 @add("doc_freq", f"with {o.inverted()} select term, count(*) as doc_freq from post group by term")
 def doc_freq(spark, sf_dir):
     return documents(spark, sf_dir).term_stats().select("term", "doc_freq")
@@ -379,6 +389,16 @@ def persisted_search(spark, sf_dir):
     return se.top(se.search(loaded(spark, sf_dir, "persisted").index(), GOLDEN), 10)
 
 
+@add("ram_index", o.best(GOLDEN_NODE))
+def ram_index(spark, sf_dir):
+    index = ix.cached(documents(spark, sf_dir))
+    try:
+        best = se.top(se.search(index, GOLDEN), 10).collect()
+    finally:
+        ix.release(index)
+    return spark.createDataFrame(best, "doc_id long, score float")
+
+
 @add("delete_by_term", o.hits(HASH3_NODE) + " select doc_id, score from hits where doc_id not in (select doc_id from post where term = 'ung') order by score desc, doc_id limit 10")
 def delete_by_term(spark, sf_dir):
     s = loaded(spark, sf_dir, "delete-term")

@@ -28,7 +28,7 @@ from textloom.plans.query import Query
 
 FORMAT = 1
 SCHEMAS = {
-    "postings": "term string, doc_id long, freq int, positions array<int>, norm float, field string",
+    "postings": "term string, doc_id long, freq int, positions array<int>, norm float, offsets array<struct<start:int,end:int>>, field string",
     "norms": "doc_id long, length int, norm_byte int, norm float, field string",
     "stats": "term string, doc_freq long, total_term_freq long, field string",
 }
