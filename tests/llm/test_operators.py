@@ -265,8 +265,9 @@ def test_threads_are_brute_force(spark):
                 linked += 1
                 assert brute[turn][:2] == (parent, True)
     assert linked > 150 and max(r[3] for r in want.values()) >= 3
-    got = quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert {(r["conv_id"], r["turn"]): (r["reply_to"], r["linked"], r["text"], r["levels"], r["depth"], r["position"]) for r in got} == want
+    for longest in (quotes.LONGEST, 5):  # all in tasks; long ones by joins
+        got = quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), longest=longest).collect()
+        assert {(r["conv_id"], r["turn"]): (r["reply_to"], r["linked"], r["text"], r["levels"], r["depth"], r["position"]) for r in got} == want
 
 
 def test_long_messages_take_linear_time():

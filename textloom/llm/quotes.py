@@ -20,6 +20,8 @@ from .shared import Tables
 
 #: A sentence of fewer words says too little of where it comes from; a passage that is shorter as a whole counts as one sentence.
 MIN_WORDS = 3
+#: Messages of a conversation that one task puts in order; longer ones are put in order by joins.
+LONGEST = 100_000
 _MARKS = re.compile(r"(?:[ \t]{0,3}>[ \t]?)*+")
 _INTRO = re.compile(r"^.{0,200}(wrote|schrieb|a écrit|écrit|escribió|said)\s*:\s*$", re.I)
 _DASHES = re.compile(r"^\s*-{2,}\s*(original message|ursprüngliche nachricht|message d'origine|mensaje original)\s*-{2,}\s*$", re.I)
@@ -107,7 +109,32 @@ def _ordered(batches):
     yield batch(out + (closed(conv, rows) if rows else []))
 
 
-def threads(messages: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _ranked(links: DataFrame, tables: Tables) -> DataFrame:
+    """The same for conversations of any length, as joins on (conv_id, turn): each turn is entered and left once on a walk around the tree, and the steps to its end are summed by doubling.
+
+    A turn's position is the number of turns entered before it, its depth that of those entered and not left. The number of rounds is the logarithm of the walk's length.
+    """
+    kids = Window.partitionBy("conv_id", "reply_to").orderBy("turn")
+    tree = links.select("conv_id", "turn", "reply_to", F.lead("turn").over(kids).alias("sibling"))
+    first = tree.where("reply_to is not null").groupBy("conv_id", F.col("reply_to").alias("turn")).agg(F.min("turn").alias("child"))
+    tree = tree.join(first, ["conv_id", "turn"], "left")
+    # steps of the walk: turn and whether it is left; enter: turns entered from here to the end, level: of these, less those left
+    enter = tree.select("conv_id", "turn", F.lit(False).alias("out"), F.coalesce("child", "turn").alias("to"), F.col("child").isNull().alias("to_out"), F.lit(1).cast("long").alias("enter"), F.lit(1).cast("long").alias("level"))
+    leave = tree.select("conv_id", "turn", F.lit(True).alias("out"), F.coalesce("sibling", "reply_to").alias("to"), F.col("sibling").isNull().alias("to_out"), F.lit(0).cast("long").alias("enter"), F.lit(-1).cast("long").alias("level"))
+    walk, k = tables.write(enter.unionByName(leave), "walk0"), 0
+    while walk.where("to is not null").limit(1).count():
+        after = walk.select("conv_id", F.col("turn").alias("to"), F.col("out").alias("to_out"), F.col("to").alias("next"), F.col("to_out").alias("next_out"), F.col("enter").alias("more"), F.col("level").alias("deeper"))
+        both = walk.join(after, ["conv_id", "to", "to_out"], "left")
+        both = both.select("conv_id", "turn", "out", F.col("next").alias("to"), F.coalesce("next_out", F.lit(True)).alias("to_out"), (F.col("enter") + F.coalesce("more", F.lit(0))).alias("enter"), (F.col("level") + F.coalesce("deeper", F.lit(0))).alias("level"))
+        k += 1
+        walk = tables.write(both, f"walk{k}")
+        tables.drop(f"walk{k - 1}")
+    sizes = links.groupBy("conv_id").agg(F.count("*").alias("n"))
+    walk = walk.where("not out").join(sizes, "conv_id")
+    return walk.select("conv_id", "turn", F.negative("level").cast("int").alias("depth"), (F.col("n") - F.col("enter")).cast("int").alias("position"))
+
+
+def threads(messages: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
     """``(conv_id, turn, role, text, levels, reply_to, linked, depth, position)``: each message without quotes, in reply order within its conversation.
 
     levels: the deepest quote level of the message. reply_to: the turn it replies to: the earlier message that most of its quoted sentences of level 1 come from, or of
@@ -131,8 +158,12 @@ def threads(messages: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     links = rows.select("conv_id", "turn").withColumn("before", before).join(parents, ["conv_id", "turn"], "left")
     links = tables.write(links.select("conv_id", "turn", F.coalesce("linked_to", "before").alias("reply_to"), F.col("linked_to").isNotNull().alias("linked")), "links")
     parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = links.select("conv_id", "turn", "reply_to").repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn")
+    sizes = links.groupBy("conv_id").count()
+    long = sizes.where(F.col("count") > longest).select("conv_id")
+    order = links.join(long, "conv_id", "left_anti").select("conv_id", "turn", "reply_to").repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn")
     order = order.mapInArrow(_ordered, "conv_id long, turn long, depth int, position int")
+    if long.limit(1).count():
+        order = order.unionByName(_ranked(tables.write(links.join(long, "conv_id", "left_semi"), "long"), tables))
     out = rows.select("conv_id", "turn", "role", "text", "levels").join(links, ["conv_id", "turn"]).join(order, ["conv_id", "turn"])
     return out.select("conv_id", "turn", "role", "text", "levels", "reply_to", "linked", "depth", "position")
 
