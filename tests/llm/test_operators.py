@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import blocks, mixture, parity_join, quotes, repetition, secrets, simple8b, suffix_index, templates, toxicity
 from textloom.llm import words as wd
@@ -483,6 +484,41 @@ def test_long_runs_and_pieces_lose_nothing(spark, monkeypatch):
     assert kept == {d for d in texts if want[d][0] == d}
 
 
+def test_bits_of_common_words_dont_meet(spark):
+    """Unrelated documents, in many tasks each of which sees an n-gram of common words once or twice: hardly any share a bit, and copies are found."""
+    rng = random.Random(16)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(20000)]
+    texts = {k: " ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(60)) for k in range(2400)}
+    texts |= {5000 + k: texts[k] + " more" for k in range(20)}
+    base = docs(spark, list(texts.items())).repartition(32)
+    tables = Tables(spark, "test")
+    _, members, listed = parity_join._profiled(base, tables, 3)
+    reps = members.where("doc_id = rep").select(F.col("doc_id").alias("doc"), "f1", "weight")
+    runs, _ = parity_join._runs(base, reps, tables, 3, 0.6, listed)
+    assert runs.where("doc >= 20 and doc < 5000").count() < 2400
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in parity_join.jaccard_join(base).collect()}
+    assert got == {d: (d % 5000, int(d % 5000 < 20)) for d in texts}
+
+
+@pytest.mark.parametrize("counts", [[0, 0, 0, 0], [5, 1, 10**9, 0]])
+def test_expected_frequencies_follow_the_words(counts):
+    """Sums of logarithms over the words of each n-gram; short texts and repeated n-grams too; no count, one place for all and any n do no harm."""
+    w = wd.scan(pa.array(["a b c a b c", "", None, "b", "c a", "a a a a"]))
+    logs = parity_join.logarithms(np.resize(np.array(counts), parity_join.PLACES))
+    for n in (1, 3, 9):
+        doc, h, weight = parity_join.weighed_sets(w, n, logs)
+        want_doc, want_h = parity_join.sets(w, n)
+        assert (doc == want_doc).all() and (h == want_h).all()
+        grams = {}
+        for k in range(6):
+            words = w.h[w.off[k] : w.off[k + 1]]
+            m = min(n, len(words))
+            for i in range(len(words) - m + 1 if m else 0):
+                g, _ = wd.ngrams(words[i : i + m], np.array([0, m]), m)
+                grams[k, int(g[0] >> np.uint64(12))] = max(0, int(sum(logs[parity_join.place(words[i : i + m])]) + logs[-1] + parity_join.FLOOR * parity_join.STEPS))
+        assert {(int(d), int(x)): int(v) for d, x, v in zip(doc, h, weight)} == grams
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(200):
