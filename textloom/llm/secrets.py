@@ -1,6 +1,6 @@
 """Secret scan with structural confirmation.
 
-Candidates are runs of base64, base64url or hex characters, of tokens with points, and PEM blocks. Each is decoded and parsed before it is reported: DER
+Candidates are runs of base64, base64url or hex characters, of tokens with points, PEM blocks, and what begins like a key, be it in separated bytes or in lines with marks. Each is decoded and parsed before it is reported: DER
 must nest with lengths that fill the whole, and have the fields of a key; OpenSSH keys must be made of length-prefixed
 strings to the end; a signed token needs a JSON header with an algorithm, a JSON payload and a signature of the algorithm's length.
 """
@@ -10,9 +10,13 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import heapq
 import json
 import re
 from bisect import bisect
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,22 @@ _OIDS = {
     bytes.fromhex("2b6571"): "ed448",
     bytes.fromhex("2a8648ce380401"): "dsa",
 }
+#: What begins like a key in base64: a DER sequence, or the name of OpenSSH's format. Each begins with characters of its own, which are searched for faster than alternatives.
+_BASE64_HEADS = (re.compile(rb"M[A-I](?=(?:[A-Za-z0-9+/_-]|\\+/|%2[BbFf]){10})"), re.compile(rb"b3BlbnNzaC1rZXktdjEA"))
+_PIECE = re.compile(rb"(?:[A-Za-z0-9+/_-]++|\\+/|%2[BbFf])++")
+_PAD = re.compile(rb"(?:=|%3[Dd])*+")
+#: Between two lines: the end of a line, which can be escaped, with quotes and marks around it. The second form also takes marks that are base64 characters.
+_END = rb"(?:[ \t\"',;]{0,8}+\+?[ \t]{0,8}+(?:\\*+\r?\n|\\++r\\++n|\\++[nr]|(?:%0[Dd])?%0[Aa])){1,3}+"
+_GAPS = (re.compile(_END + rb"[ \t>\"'#*|]{0,64}+"), re.compile(_END + rb"[ \t]{0,64}+(?:\+|-|//)[ \t]{0,64}+"))
+_BETWEEN = rb"[\s:,;\"'\\]{0,64}+(?:0?x)?"
+#: The same in hex, whose bytes can be apart.
+_SIZE = _BETWEEN.join([rb"(?:[0-7][0-9A-Fa-f]|8(?:1|2", rb"[0-9A-Fa-f]{2})", rb"[0-9A-Fa-f]{2})"])
+_HEX_HEADS = tuple(re.compile(_BETWEEN.join(x)) for x in ([b"30", _SIZE, b"(?:02", b"01", b"0[01]|30", _SIZE, b"06)"], [b"6[Ff]", b"70", b"65", b"6[Ee]", b"73", b"73", b"68"]))
+_BYTE = re.compile(rb"(" + _BETWEEN + rb")([0-9A-Fa-f]{2})")
+_BYTES = re.compile(rb"(?:" + _BETWEEN + rb"[0-9A-Fa-f]{2})++")
+#: So many bytes of a key are looked at before its length is believed.
+HEAD = 24
+_MAGIC = b"openssh-key-v1\0"
 _SIGNATURES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
 
 
@@ -107,10 +127,9 @@ def _strings(data: bytes, at: int, count: int) -> tuple[list[bytes], int] | None
 
 
 def _openssh_kind(data: bytes) -> str | None:
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(_MAGIC):
         return None
-    got = _strings(data, len(magic), 3)
+    got = _strings(data, len(_MAGIC), 3)
     if not got or got[1] + 4 > len(data):
         return None
     keys = int.from_bytes(data[got[1] : got[1] + 4], "big")
@@ -123,6 +142,121 @@ def _openssh_kind(data: bytes) -> str | None:
     return "openssh_private_key" if public and public[0][0].startswith((b"ssh-", b"ecdsa-", b"sk-")) else None
 
 
+def _length(data: bytes, at: int) -> tuple[int, int] | None:
+    """Of the DER element at a place: where its content begins and ends, if that is given in up to two bytes."""
+    if at + 4 > len(data):
+        return None
+    n, at = data[at + 1], at + 2
+    if n >= 128:
+        k = n & 127
+        if not 1 <= k <= 2:
+            return None
+        n, at = int.from_bytes(data[at : at + k], "big"), at + k
+        if n < 128 or data[at - k] == 0:  # not the shortest form
+            return None
+    return at, at + n
+
+
+def _needed(data: bytes) -> int | None:
+    """How many bytes a key has that begins like this, or, if more than there are, must be seen next; None if it is none."""
+    if data[:1] == b"\x30":
+        lo, hi = _length(data, 0) or (0, 0)
+        first = data[lo : lo + 3]
+        if first in (b"\x02\x01\x00", b"\x02\x01\x01"):
+            at, fields = lo + 3, 1
+            while hi - at >= 4:  # through the fields, of which no key has more than ten, so that little is read of what only begins like one
+                if at + 4 > len(data):
+                    return at + 4
+                field = _length(data, at)
+                fields += 1
+                if fields > 10 or not field or data[at] not in (0x02, 0x04, 0x30, 0xA0, 0xA1) or field[1] > hi:
+                    return None
+                at = field[1]
+            return hi
+        return hi if first[:1] == b"\x30" and data.find(bytes.fromhex("2a864886f70d01"), lo, HEAD) > 0 else None
+    if not _MAGIC.startswith(data[: len(_MAGIC)]):
+        return None
+    at, k = len(_MAGIC), 0
+    while k < 5:  # three names, the number of keys (one), a public and the private part
+        if at + 4 > len(data):
+            return at + 4
+        n = int.from_bytes(data[at : at + 4], "big")
+        if n > 1 << 16:
+            return None
+        if k == 3 and n == 1 and at + 8 > len(data):
+            return at + 8
+        at += 4 + (n if k != 3 else 4 + int.from_bytes(data[at + 4 : at + 8], "big"))
+        if at > 1 << 17:
+            return None
+        k += 1
+    return at
+
+
+def _base64_at(raw: bytes, at: int, stop: int, size: int, gap: re.Pattern) -> tuple[bytes, int, bool] | None:
+    """The size bytes that stand from a place on in base64, where they end, and whether their line ends there too. The lines between the first and the last are of one length, and the last is no longer."""
+    chars = left = -(-size * 4 // 3)
+    parts: list[bytes] = []
+    while True:
+        m = _PIECE.match(raw, at, min(stop, at + 4 * left + 8))
+        if not m:
+            return None
+        part = re.sub(rb"\\+/|%2[Ff]", b"/", re.sub(rb"%2[Bb]", b"+", m[0])) if b"\\" in m[0] or b"%" in m[0] else m[0]
+        if len(parts) > 1 and not len(parts[-1]) == len(parts[1]) >= len(part) or len(parts) == 1 and len(part) >= max(left, len(parts[0]) + 1):
+            return None
+        parts.append(part)
+        left -= len(part)
+        if left <= 0:
+            break
+        end = gap.match(raw, m.end(), stop)
+        if not end:
+            return None
+        at = end.end()
+    text = b"".join(parts)[:chars].replace(b"-", b"+").replace(b"_", b"/")
+    return base64.b64decode(text + b"=" * (-chars % 4)), _PAD.match(raw, m.end(), stop).end(), left == 0
+
+
+def _hex_at(raw: bytes, at: int, stop: int, size: int) -> tuple[bytes, int, bool] | None:
+    """The same in hex. What is between two bytes of a line is the same everywhere."""
+    flat = raw[at : min(stop, at + 2 * size)]
+    if len(flat) == 2 * size and re.fullmatch(rb"[0-9A-Fa-f]++", flat):
+        return bytes.fromhex(flat.decode()), at + 2 * size, not re.match(rb"[0-9A-Fa-f]", raw[at + 2 * size : min(stop, at + 2 * size + 1)])
+    run = _BYTES.match(raw, at, min(stop, at + 80 * size))
+    pairs = list(islice(_BYTE.finditer(raw, at, run.end()), size)) if run else []
+    if len(pairs) < size or len({m[1] for m in pairs[1:] if b"\n" not in m[1]}) > 1:
+        return None
+    end = pairs[-1].end()
+    return bytes.fromhex(b"".join(m[2] for m in pairs).decode()), end, not re.match(rb"[0-9A-Fa-f]", raw[end : min(stop, end + 1)])
+
+
+def _key_at(read: Callable[[int], tuple[bytes, int, bool] | None]) -> tuple[int, str] | None:
+    """Where the key ends that read gives the first bytes of, and its kind."""
+    size, needed = 0, HEAD
+    while needed and needed > size:
+        size = needed
+        got = read(size)
+        needed = got and _needed(got[0])
+    if not needed or needed != size or not got[2]:
+        return None
+    kind = _der_kind(got[0]) or _openssh_kind(got[0])
+    return (got[1], kind) if kind else None
+
+
+def _headed(raw: bytes, off: np.ndarray, done: list[tuple[int, int]], min_chars: int) -> Iterator[tuple[int, int, str]]:
+    """Keys, outside of what is done, that are found by how they begin and read as far as their lengths say: within a run after a name or before a word, in lines with marks around them, in separated bytes. off: where texts begin and end."""
+    past = 0
+    for m in heapq.merge(*(x.finditer(raw) for x in _BASE64_HEADS + _HEX_HEADS), key=lambda m: m.start()):
+        s = m.start()
+        k = bisect(done, (s, len(raw))) - 1
+        if s < past or (k >= 0 and s < done[k][1]):
+            continue
+        stop = int(off[np.searchsorted(off, s, side="right")])
+        reads = [partial(_hex_at, raw, s, stop)] if m.re in _HEX_HEADS else [partial(_base64_at, raw, s, stop, gap=gap) for gap in _GAPS]
+        hit = next(filter(None, map(_key_at, reads)), None)
+        if hit and hit[0] - s >= min_chars:
+            past = hit[0]
+            yield s, *hit
+
+
 def _decoded(text: str) -> list[bytes]:
     """All byte strings that the text encodes."""
     out = []
@@ -177,9 +311,10 @@ def confirm(text: str, min_chars: int = MIN_CHARS) -> str | None:
         if kind:
             return kind
         if re.fullmatch(rb"[\x20-\x7e\s]+", data):  # encoded twice
-            inner = data.decode().strip()
-            pem = _PEM.search(data)
-            again = re.sub(r"\s|\\n", "", pem[2].decode()) if pem else inner
+            pems = find(data)
+            if pems:
+                return pems[0][2]
+            again = re.sub(r"\s|\\n", "", data.decode())
             for more in _decoded(again) if len(again) >= min_chars else []:
                 kind = _der_kind(more) or _openssh_kind(more)
                 if kind:
@@ -265,14 +400,22 @@ def _scan(min_chars: int):
                     j = _wrapped(raw, runs, i)
                     while text_of[j] != k:
                         j -= 1
-                    if j > i and (kind := confirm(re.sub(r"\s", "", raw[s : runs[j][1]].decode("ascii")), min_chars)):
-                        got.append((k, s - lo, runs[j][1] - lo, kind, raw[s : runs[j][1]]))
+                    for last in range(j, max(i, j - 2), -1):  # the last line can be full, and what follows a word
+                        kind = confirm(re.sub(r"\s", "", raw[s : runs[last][1]].decode("ascii")), min_chars)
+                        if kind:
+                            got.append((k, s - lo, runs[last][1] - lo, kind, raw[s : runs[last][1]]))
+                            j = last
+                            break
                     else:  # else each line stands for itself
                         for s, e in runs[i : j + 1]:
                             hit = e - s >= min_chars and _confirmed(raw[s:e].decode("ascii"), min_chars)
                             if hit:
                                 got.append((k, s - lo + hit[0], s - lo + hit[0] + len(hit[1]), hit[2], hit[1].encode()))
                     i = j + 1
+                done = sorted((int(off[k]) + s, int(off[k]) + e) for k, s, e, *_ in got)
+                for s, e, kind in _headed(raw, off, done, min_chars):
+                    k = int(np.searchsorted(off, s, side="right")) - 1
+                    got.append((k, s - int(off[k]), e - int(off[k]), kind, raw[s:e]))
             got.sort()
             rows = pa.array([g[0] for g in got], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.string()), pa.array([hashlib.sha256(g[4]).hexdigest() for g in got], pa.string())], ["doc_id", "start_byte", "end_byte", "kind", "fingerprint"])
@@ -283,7 +426,8 @@ def _scan(min_chars: int):
 def secrets(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(doc_id, start_byte, end_byte, kind, fingerprint)`` of confirmed secrets; positions are in the UTF-8 text, fingerprint is the SHA-256 of the secret, which isn't shown itself.
 
-    Candidates have min_chars characters or more. Lines of one length that follow each other are tried as one candidate first. Runs of the shape alone, like hashes and digests, aren't reported, nor are
+    Candidates have min_chars characters or more. Lines of one length that follow each other are tried as one candidate first. Keys of up to 64 KB
+    are also found by how they begin, and read as far as their lengths say: after a name or "0x" in the same run, in lines of any length with quotes or other marks around them, with escaped or percent-encoded ends of lines, and in hex with its bytes apart. Runs of the shape alone, like hashes and digests, aren't reported, nor are
     public keys. Null and empty texts have none, an empty table gives no rows, and very long texts are read whole, in linear time. Each row
     stands for itself: a null doc_id is reported as null, repeated rows repeat. Other columns are ignored.
     """
