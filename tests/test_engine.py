@@ -513,3 +513,28 @@ def test_empty_tables(spark):
     index = build(frame(spark, []), {"text": TEXT})
     assert ranked(se.search(index, should(T("a"), T("b")))) == []
     assert index.field_stats().count() == 0
+
+
+# analysis in batches
+
+
+def test_batches_give_the_tokens_of_the_columns(spark):
+    rng = random.Random(5)
+    alphabets = ["ab9Z_.:,;'’· é-́\n", "aΣσİ.:' 1,", "漢字ひらカ〇⺀ไทย๑๒.,:'1a _", "".join(map(chr, range(1, 0x600)))]
+    rows = ["".join(rng.choice(alphabets[k % 4]) for _ in range(rng.randint(0, 90))) for k in range(400)] + ["", None, "x" * 300 + " " + "y" * 255 + " the of", "İ" * 127 + " " + "İ" * 128]
+    d = frame(spark, rows).repartition(3)
+    for analyzer in (an.STANDARD, an.Analyzer(lower=False, stop=()), an.Analyzer(keep=lambda t: F.char_length(t) > 3, max_length=None)):
+        want = {(r[0], *r[1]) for r in d.select("doc_id", F.explode(analyzer.tokens(F.col("text")))).collect()}
+        assert {(r["doc_id"], r["term"], r["pos"]) for r in an.token_rows(d, "doc_id", "text", analyzer).collect()} == want
+        index = build(d, {"text": TEXT}, analyzer=analyzer)
+        assert {(r["doc_id"], r["term"], p) for r in index.postings.collect() for p in r["positions"]} == want
+        assert sum(r["length"] for r in index.norms.collect()) == len(want)
+    for r in an.offsets(d, "doc_id", "text").collect():
+        assert rows[r["doc_id"]][r["start"] : r["end"]] == r["raw"]
+
+
+def test_documents_are_inverted_where_they_are_read(spark):
+    d = frame(spark, texts())
+    for options in (TEXT, FieldOptions(options=OFFSETS), FieldOptions(omit_norms=True), KEYWORD):
+        assert "Exchange" not in build(d, {"text": options}).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in an.offsets(d, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()

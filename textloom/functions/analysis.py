@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import batches
+
 MAX_LENGTH = 255
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
@@ -33,7 +35,6 @@ SQL_TOKEN = _pattern(r"[\p{L}\p{M}\p{N}_]", r"[\p{L}\p{M}]", r"\p{N}")
 #: For texts without characters of SCRIPTS, whose rules are the only ones that need intersections; ASCII stands first as it is tested fastest.
 _FAST = _pattern(r"[a-zA-Z0-9_\p{L}\p{M}\p{N}]", r"[a-zA-Z\p{L}\p{M}]", r"[0-9\p{N}]")
 SCRIPTS = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u19E0-\u19FF\u2E80-\u9FFF\uA9E0-\uAADF\uF900-\uFAFF\x{1B000}-\x{1B16F}\x{1F200}\x{20000}-\x{3FFFF}]"
-_MARK = "\x01"
 
 
 def token_type(term: Column) -> Column:
@@ -135,17 +136,16 @@ KEYWORD = Analyzer(whole, lower=False, stop=(), max_length=None)
 WHITESPACE = Analyzer(blanks, stop=(), max_length=None)
 
 
-def offsets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, pos, raw, start, end)`` of raw tokens, offsets in characters.
+def token_rows(df: DataFrame, doc_id: str, text: str, analyzer: Analyzer = STANDARD) -> DataFrame:
+    """``(doc_id, pos, term)`` of a table's texts; those of the standard tokenizer are taken apart in batches."""
+    if analyzer.raw is not raw_tokens:
+        rows = df.select(F.col(doc_id).alias("doc_id"), F.explode(analyzer.tokens(F.col(text))).alias("t"))
+        return rows.select("doc_id", "t.pos", "t.term")
+    rows = batches.tokens(df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string")), analyzer.lower, analyzer.stop, analyzer.max_length)
+    return rows.where(analyzer.keep(F.col("term"))) if analyzer.keep else rows
 
-    Tokens are set between marks that the text doesn't hold, so splitting gives tokens and what is between them in turn; lengths add up in one window per document.
-    """
-    marked = F.regexp_replace(F.translate(text, _MARK, " "), TOKEN, f"{_MARK}$0{_MARK}")
-    parts = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(once(F.split(marked, _MARK))).alias("k", "part"))
-    from pyspark.sql.window import Window
-
-    own = Window.partitionBy("doc_id").orderBy("k")
-    parts = parts.withColumn("end", F.sum(F.char_length("part")).over(own).cast("int"))
-    tokens = parts.where((F.col("k") % 2 == 1) & F.col("part").rlike(r"[\p{L}\p{N}]"))
-    tokens = tokens.withColumn("pos", F.row_number().over(own) - 1)
-    return tokens.select("doc_id", "pos", F.col("part").alias("raw"), (F.col("end") - F.char_length("part")).alias("start"), "end")
+
+def offsets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, pos, raw, start, end)`` of raw tokens, offsets in characters."""
+    rows = batches.tokens(df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string")), False, (), None, places=True)
+    return rows.withColumnRenamed("term", "raw")

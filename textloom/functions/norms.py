@@ -81,3 +81,7 @@ def length_value(length: Column) -> Column:
 def sql_length_value(length: str) -> str:
     """The same in SQL."""
     return "case " + " ".join(f"when {length} >= {lo} then cast({decode(b)!r} as float)" for lo, b in reversed(STEPS)) + " end"
+
+
+def sql_length_byte(length: str) -> str:
+    return "case " + " ".join(f"when {length} >= {lo} then {b}" for lo, b in reversed(STEPS)) + " end"

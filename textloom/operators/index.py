@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import norms
+from textloom.functions import batches, norms
 from textloom.functions.analysis import KEYWORD, STANDARD, Analyzer, offsets, raw_tokens
 from textloom.plans.config import FREQS, OFFSETS, POSITIONS, TEXT, FieldOptions
 
@@ -42,24 +42,43 @@ def analysed(docs: DataFrame, name: str, options: FieldOptions, analyzer: Analyz
     """``(doc_id, tokens, length, norm_byte, norm)`` of one field: tokens and norm come from the row itself, without a shuffle."""
     analyzer = analyzer if options.tokenized else KEYWORD
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), analyzer.tokens(F.col(name), options.many).alias("tokens"), *([] if boost is None else [boost.cast("float").alias("boost")]))
-    rows = rows.where("doc_id is not null").withColumn("length", F.size("tokens"))
+    return normed(rows.where("doc_id is not null").withColumn("length", F.size("tokens")), options, "tokens")
+
+
+def normed(rows: DataFrame, options: FieldOptions, *columns: str) -> DataFrame:
+    """``(doc_id, columns, length, norm_byte, norm)`` of rows with a length, and a boost if there is one."""
     if options.omit_norms:
-        return rows.select("doc_id", "tokens", "length", F.lit(None).cast("int").alias("norm_byte"), F.lit(None).cast("float").alias("norm"))
-    if boost is None:
-        return rows.select("doc_id", "tokens", "length", norms.norm_byte(F.col("length")).alias("norm_byte"), norms.length_value(F.col("length")).alias("norm"))
+        return rows.select("doc_id", *columns, "length", F.lit(None).cast("int").alias("norm_byte"), F.lit(None).cast("float").alias("norm"))
+    if "boost" not in rows.columns:
+        return rows.select("doc_id", *columns, "length", F.expr(norms.sql_length_byte("length")).alias("norm_byte"), F.expr(norms.sql_length_value("length")).alias("norm"))
     rows = rows.withColumn("norm_byte", norms.boosted_byte(F.col("length"), F.col("boost")))
-    return rows.select("doc_id", "tokens", "length", "norm_byte", norms.norm_value(F.col("norm_byte")).alias("norm"))
+    return rows.select("doc_id", *columns, "length", "norm_byte", norms.norm_value(F.col("norm_byte")).alias("norm"))
 
 
 def inverted(rows: DataFrame, name: str, options: FieldOptions = TEXT) -> DataFrame:
     """Postings of a field from its analysed rows. Without frequencies, freq is 1; without positions, positions is null."""
     tokens = rows.select("doc_id", "norm", F.explode("tokens").alias("t")).select("doc_id", "norm", "t.term", "t.pos")
+    if not options.tokenized and not options.many:  # one token at most
+        positions = F.array("pos") if options.options >= POSITIONS else F.lit(None).cast("array<int>")
+        return tokens.select(F.lit(name).alias("field"), "term", "doc_id", F.lit(1).alias("freq"), positions.alias("positions"), "norm")
     freq = F.count("*").cast("int") if options.options >= FREQS else F.lit(1)
     positions = F.sort_array(F.collect_list("pos")) if options.options >= POSITIONS else F.lit(None).cast("array<int>")
     out = tokens.groupBy("doc_id", "term").agg(freq.alias("freq"), positions.alias("positions"), F.first("norm").alias("norm"))
     return out.select(F.lit(name).alias("field"), "term", "doc_id", "freq", "positions", "norm")
 
 
+def inverted_in_batches(docs: DataFrame, name: str, options: FieldOptions, analyzer: Analyzer, doc_id: str, boost: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings and norm rows of a field of the standard tokenizer: a document's tokens are all in its row, so each task inverts what it reads. Postings come in runs sorted by term and doc_id."""
+    text = F.array_join(F.col(name), "\n") if options.many else F.col(name).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text.alias("text"), *([] if boost is None else [boost.cast("float").alias("boost")])).where("doc_id is not null")
+    how = rows, analyzer.lower, analyzer.stop, analyzer.max_length
+    places = options.options >= OFFSETS
+    own = normed(batches.inverted(*how, options.options >= POSITIONS, places), options, "term", "freq", "positions", *["offsets"] * places)
+    freq = F.col("freq") if options.options >= FREQS else F.lit(1)
+    postings = own.select(F.lit(name).alias("field"), "term", "doc_id", freq.alias("freq"), "positions", "norm", *["offsets"] * places)
+    return postings, normed(batches.lengths(*how), options)
+
+
 def inverted_with_offsets(docs: DataFrame, rows: DataFrame, name: str, analyzer: Analyzer, doc_id: str) -> DataFrame:
     """Postings of a field with ``offsets``: start and end of each occurrence in characters of the text, in order of position."""
     if analyzer.raw is not raw_tokens:
@@ -78,13 +97,14 @@ def build(docs: DataFrame, fields: dict[str, FieldOptions], doc_id: str = "doc_i
     for name, options in fields.items():
         if not options.indexed:
             continue
-        rows = analysed(docs, name, options, (analyzers or {}).get(name, analyzer), doc_id, (boosts or {}).get(name))
-        if options.options >= OFFSETS:
-            if options.many or not options.tokenized:
-                raise ValueError("offsets are kept of single tokenized texts")
-            one = inverted_with_offsets(docs, rows, name, (analyzers or {}).get(name, analyzer), doc_id)
+        own, boost = (analyzers or {}).get(name, analyzer), (boosts or {}).get(name)
+        if options.options >= OFFSETS and (options.many or not options.tokenized):
+            raise ValueError("offsets are kept of single tokenized texts")
+        if options.tokenized and own.raw is raw_tokens and not own.keep:
+            one, rows = inverted_in_batches(docs, name, options, own, doc_id, boost)
         else:
-            one = inverted(rows, name, options)
+            rows = analysed(docs, name, options, own, doc_id, boost)
+            one = inverted_with_offsets(docs, rows, name, own, doc_id) if options.options >= OFFSETS else inverted(rows, name, options)
         norm = rows.where("length > 0").select(F.lit(name).alias("field"), "doc_id", "length", "norm_byte", "norm")
         postings = one if postings is None else postings.unionByName(one, allowMissingColumns=True)
         norm_rows = norm if norm_rows is None else norm_rows.unionByName(norm)

@@ -66,8 +66,7 @@ def store(spark: SparkSession, name: str, fields: dict | None = None, **how) ->
 
 
 def tokens(spark, sf_dir, analyzer, name="documents", doc_id="doc_id", text="text"):
-    rows = table(spark, sf_dir, name).select(F.col(doc_id).alias("doc_id"), F.explode(analyzer.tokens(F.col(text))).alias("t"))
-    return rows.select("doc_id", "t.pos", "t.term")
+    return an.token_rows(table(spark, sf_dir, name), doc_id, text, analyzer)
 
 
 @add("tokenize_standard", f"with {o.raw()} select doc_id, pos, t as term from raw where length(t) <= 255")
@@ -87,8 +86,8 @@ def stop_filter(spark, sf_dir):
 
 @add("token_types", f"with {o.raw()} select type, count(*) as n from (select case when regexp_matches(t, '\\p{{L}}') then '<ALPHANUM>' else '<NUM>' end as type from raw) group by type")
 def token_types(spark, sf_dir):
-    rows = table(spark, sf_dir).select(F.explode(an.once(an.raw_tokens(F.col("text")))).alias("t"))
-    return rows.groupBy(an.token_type(F.col("t")).alias("type")).agg(F.count("*").alias("n"))
+    rows = an.token_rows(table(spark, sf_dir), "doc_id", "text", an.Analyzer(lower=False, stop=(), max_length=None))
+    return rows.groupBy(an.token_type(F.col("term")).alias("type")).agg(F.count("*").alias("n"))
 
 
 @add("token_offsets", f"with m as (select doc_id, unnest(string_split(regexp_replace(translate(text, chr(1), ' '), '({o._TOKEN})', chr(1) || '\\1' || chr(1), 'g'), chr(1))) as part, unnest(range(len(string_split(regexp_replace(translate(text, chr(1), ' '), '({o._TOKEN})', chr(1) || '\\1' || chr(1), 'g'), chr(1))))) as k from documents), e as (select doc_id, k, part, sum(length(part)) over (partition by doc_id order by k) as e from m) select doc_id, cast(row_number() over (partition by doc_id order by k) - 1 as integer) as pos, part as raw, cast(e - length(part) as integer) as start, cast(e as integer) as \"end\" from e where k % 2 = 1 and regexp_matches(part, '[\\p{{L}}\\p{{N}}]')")
@@ -114,7 +113,7 @@ _LONG = "(select doc_id, coalesce(text, '') || ' ' || repeat('x', 256) || ' cd '
 def long_token_skip(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir).select("doc_id", F.concat(text, F.lit(" "), F.repeat(F.lit("x"), 256), F.lit(" cd "), text).alias("text"))
-    return docs.select("doc_id", F.explode(an.STANDARD.tokens(F.col("text"))).alias("t")).select("doc_id", "t.pos", "t.term")
+    return an.token_rows(docs, "doc_id", "text")
 
 
 @add("custom_filter", f"with {o.tokens()} select term, count(*) as n from k where length(term) >= 8 group by term")
