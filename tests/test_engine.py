@@ -538,3 +538,31 @@ def test_documents_are_inverted_where_they_are_read(spark):
     for options in (TEXT, FieldOptions(options=OFFSETS), FieldOptions(omit_norms=True), KEYWORD):
         assert "Exchange" not in build(d, {"text": options}).postings._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in an.offsets(d, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_writing_runs_a_plan_once_and_moves_no_postings(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    s = Store(spark, str(tmp_path / "ix"), {"text": TEXT})
+    s.add(frame(spark, texts()).repartition(3).withColumn("text", count("text")))
+    assert seen.value == len(texts())
+    whole = ranked(se.search(s.index(), T("ape")))
+    # postings of a document stay in the file of the task that read it
+    per_doc = s.index().postings.select("doc_id", F.input_file_name().alias("f")).groupBy("doc_id").agg(F.countDistinct("f").alias("files"))
+    assert per_doc.where("files > 1").count() == 0 and per_doc.count() > 50
+    s.update(frame(spark, texts()).where("doc_id < 9").withColumn("text", count(F.lit("ape"))))
+    assert seen.value == len(texts()) + 9
+    s.commit()
+    assert {x for x, _ in ranked(se.search(s.index(), T("ape")))} == {x for x, _ in whole} | set(range(9))
+    assert s.index().docs.count() == len(texts())
+    s.update(frame(spark, []))
+    assert len(s.state["segments"]) == 2
+
+
+def test_latest_row_of_a_batch_moves_once(spark):
+    from textloom.streaming.indexer import latest
+
+    d = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, "c", 2), (2, "d", None), (2, "e", 0), (3, "f", 0), (3, "f", 0)], "doc_id long, text string, at int")
+    got = latest(d, "doc_id", F.col("at"))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, "b"), (2, "e"), (3, "f")] and got.columns == d.columns
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()

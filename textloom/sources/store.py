@@ -2,7 +2,7 @@
 
 A segment is written whole before anything refers to it. A commit is one small manifest, renamed into place under a lock: a reader sees a generation entirely or not
 at all, and keeps it for as long as it is retained. A delete is a tombstone that affects segments older than itself.
-Segments of a like size merge when there are too many; a merge joins their sorted postings and drops deleted documents, and analyses no text again.
+Segments of a like size merge when there are too many; a merge unites their postings in larger sorted files and drops deleted documents, and analyses no text again.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ SCHEMAS = {
 }
 #: Seconds after which the lock of a writer that didn't come to an end is taken over.
 STALE = 600
+#: Tombstones up to which they are sent to all tasks; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: How often the latest generation is looked up again, when another writer removes it meanwhile.
 RETRIES = 5
 
@@ -166,31 +168,42 @@ class Store:
     # writing
 
     def add(self, docs: DataFrame) -> None:
-        """Writes a segment: documents, postings in order of term so that a term's row groups are few, norms and statistics. doc_id must be unique among live documents."""
-        if not docs.take(1):
-            return
+        """Writes a segment: documents, postings in runs sorted by term so that a term's pages are few, norms and statistics. doc_id must be unique among live documents."""
+        self._index(*self._stored(docs))
+
+    def _stored(self, docs: DataFrame) -> tuple[str, int]:
+        """A new segment's folder with its documents, and their number; the plan that they come from runs once."""
         base = f"{self.path}/segments/{uuid.uuid4().hex}"
-        # read back, so that documents of a plan that isn't deterministic are indexed as they are stored
         docs.where(F.col(self.doc_id).isNotNull()).withColumn("doc_id", F.col(self.doc_id).cast("long")).write.parquet(f"{base}/docs")
-        built = ix.build(self.spark.read.parquet(f"{base}/docs"), self.fields, "doc_id", self.analyzer)
-        self._segment(base, built.postings, built.norms)
+        return base, self.spark.read.parquet(f"{base}/docs").count()
 
-    def _segment(self, base: str, postings: DataFrame, norms: DataFrame) -> None:
-        """Writes the tables of a segment whose documents are there, and takes it in."""
-        parts = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2000))
-        postings.repartitionByRange(parts, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.option("parquet.bloom.filter.enabled#term", "true").partitionBy("field").parquet(f"{base}/postings")
-        norms.write.partitionBy("field").parquet(f"{base}/norms")
+    def _index(self, base: str, count: int) -> None:
+        if not count:
+            fs, p = self._fs(base)
+            fs.delete(p, True)
+            return
+        # read back, so that documents of a plan that isn't deterministic are indexed as they are stored
+        built = ix.build(self.spark.read.parquet(f"{base}/docs"), self.fields, "doc_id", self.analyzer)
+        self._segment(base, built.postings, built.norms, count)
+
+    def _segment(self, base: str, postings: DataFrame, norms: DataFrame, count: int) -> None:
+        """Writes the tables of a segment whose documents are there, and takes it in. Each task writes the postings of the documents that it reads, as they come: nothing is shuffled but counts of terms."""
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for name in (k for k, options in self.fields.items() if options.indexed):
+            for kind, rows in (("postings", postings), ("norms", norms)):
+                # a folder a field, as partitionBy makes them, but without its sort
+                rows.where(F.col("field") == name).drop("field").write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{base}/{kind}/field={escaped(name)}")
         written = self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{base}/postings")
         ix.term_stats(written).write.partitionBy("field").parquet(f"{base}/stats")
         self.state["clock"] += 1
         fs, p = self._fs(base)
-        self.state["segments"].append({"path": base, "at": self.state["clock"], "docs": self.spark.read.parquet(f"{base}/docs").count(), "bytes": fs.getContentSummary(p).getLength()})
+        self.state["segments"].append({"path": base, "at": self.state["clock"], "docs": count, "bytes": fs.getContentSummary(p).getLength()})
 
     def _delete(self, ids: DataFrame) -> None:
         base = f"{self.path}/deletes/{uuid.uuid4().hex}"
         self.state["clock"] += 1
         ids.select(F.col("doc_id").cast("long")).distinct().write.parquet(base)
-        self.state["deletes"].append({"path": base, "at": self.state["clock"]})
+        self.state["deletes"].append({"path": base, "at": self.state["clock"], "docs": self.spark.read.parquet(base).count()})
 
     def delete_by_term(self, field: str, term: str) -> None:
         if self.state["segments"]:
@@ -206,11 +219,12 @@ class Store:
 
     def update(self, docs: DataFrame, field: str | None = None, term: str | None = None) -> None:
         """Deletes by term, or the documents of the same doc_ids, and adds; one commit publishes both."""
+        base, count = self._stored(docs)
         if field is None:
-            self.delete_ids(docs.select(F.col(self.doc_id).alias("doc_id")))
+            self.delete_ids(self.spark.read.parquet(f"{base}/docs").select("doc_id"))
         else:
             self.delete_by_term(field, term)
-        self.add(docs)
+        self._index(base, count)
 
     def commit(self, user_data: dict | None = None) -> int:
         """Publishes what was added and deleted since the last commit; nothing is published twice."""
@@ -292,7 +306,7 @@ class Store:
         self._tables(old, self.state["deletes"], "docs").write.parquet(f"{base}/docs")
         postings, norms = (self._tables(old, self.state["deletes"], kind) for kind in ("postings", "norms"))
         self.state["segments"] = rest
-        self._segment(base, postings, norms)
+        self._segment(base, postings.sortWithinPartitions("field", "term", "doc_id"), norms, self.spark.read.parquet(f"{base}/docs").count())
         first = min((s["at"] for s in self.state["segments"]), default=0)
         self.state["deletes"] = [d for d in self.state["deletes"] if d["at"] > first]
 
@@ -324,6 +338,8 @@ class Store:
         aged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("textloom_at", F.lit(s["at"])) for p, s in zip(parts, segments) if s["at"] < newest])
         gone = reduce(DataFrame.unionByName, [self.spark.read.parquet(d["path"]).select("doc_id", F.lit(d["at"]).alias("gone_at")) for d in late])
         gone = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("gone_at").alias("gone_at"))
+        if sum(d.get("docs", BROADCAST + 1) for d in late) <= BROADCAST:
+            gone = F.broadcast(gone)  # two numbers a row; else postings and texts would be shuffled for it
         aged = aged.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("gone_at") > F.col("textloom_at")), "left_anti").drop("textloom_at")
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [aged, *live])
 
