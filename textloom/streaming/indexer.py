@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from textloom.sources.store import Store
 
@@ -24,8 +25,10 @@ def stream_id(store: Store, checkpoint: str) -> str:
 
 def latest(batch: DataFrame, doc_id: str, order: Column) -> DataFrame:
     """One row of each doc_id: the one that comes last by order; of equal ones that of the greatest hash of all columns."""
-    key = F.struct(order.alias("o"), F.xxhash64(*(F.col(f"`{c}`") for c, kind in batch.dtypes if "map<" not in kind)).alias("h"))
-    return batch.groupBy(F.col(doc_id).alias("textloom_key")).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in batch.columns)), key).alias("r")).select("r.*")
+    row_hash = F.xxhash64(*(F.col(f"`{c}`") for c, kind in batch.dtypes if "map<" not in kind))
+    # a window moves each row once; max_by of a whole row would sort texts on both sides of the shuffle
+    last = Window.partitionBy(F.col(doc_id)).orderBy(order.desc(), row_hash.desc())
+    return batch.withColumn("textloom_place", F.row_number().over(last)).where("textloom_place = 1").drop("textloom_place")
 
 
 def index_stream(stream: DataFrame, store: Store, checkpoint: str, upsert: bool = True, order: Column | None = None, valid: Column | None = None, rejects: str | None = None, **trigger) -> StreamingQuery:
